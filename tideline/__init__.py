@@ -1 +1,8 @@
 """tideline: point-in-time panel analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
