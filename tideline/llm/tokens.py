@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC, VERSION = b"TIDS", 1
-HEAD = struct.Struct("<4sIQQI")
+HEAD = "<4sIQQI"
 #: Distinct pieces whose ids a worker keeps. What it holds stays bounded; beyond that it starts anew.
 MEMO_PIECES = 400_000
 LONG_TEXT = 1 << 20
@@ -124,7 +124,7 @@ def shard_bytes(doc_ids: list, ids: list[bytes]) -> bytes:
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
     control, data = encode_ranks(rank_of[flat])
     return b"".join((
-        HEAD.pack(MAGIC, VERSION, len(doc_ids), len(flat), len(ranked)), ranked.tobytes(),
+        struct.pack(HEAD, MAGIC, VERSION, len(doc_ids), len(flat), len(ranked)), ranked.tobytes(),
         np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes(), bytes(d is None for d in doc_ids),
         np.array([len(x) // 4 for x in ids], dtype="<u8").tobytes(), control, data,
     ))
@@ -132,10 +132,10 @@ def shard_bytes(doc_ids: list, ids: list[bytes]) -> bytes:
 
 def read_shard(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """doc_ids, lengths and all ids of a file."""
-    magic, version, n_docs, n_tokens, n_ranked = HEAD.unpack_from(content)
+    magic, version, n_docs, n_tokens, n_ranked = struct.unpack_from(HEAD, content)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token file of this version")
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
     ranked = np.frombuffer(content, "<u4", n_ranked, at)
     at += 4 * n_ranked
     doc_ids = np.frombuffer(content, "<i8", n_docs, at).tolist()

@@ -33,12 +33,14 @@ class Block:
         size = np.abs(self.matrix)
         level = np.zeros(size.shape, dtype=np.int64)
         level[size > 0] = np.floor(np.log2(size[size > 0])).astype(np.int64) + 1
-        # Layers hold about a fifth of the postings each, cut between impacts, so that each is worth a pass.
-        there, counts = np.unique(level[level > 0], return_counts=True)
-        self.layers, held, low = [], 0, None
-        for lv, n in zip(there[::-1].tolist(), counts[::-1].tolist(), strict=True):
-            low, held = lv, held + n
-            if held * 5 >= counts.sum():
+        # Layers hold a fifth of all impact or more each, cut between impacts, so that each is worth a pass.
+        impact = np.bincount(level.reshape(-1), weights=size.reshape(-1))
+        self.layers, held, low = [], 0.0, None
+        for lv in range(len(impact) - 1, 0, -1):
+            if not impact[lv]:
+                continue
+            low, held = lv, held + impact[lv]
+            if held * 5 >= impact.sum():
                 self.layers.append(low)
                 held = 0
         if held:

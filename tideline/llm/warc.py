@@ -151,7 +151,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 files, at = common.filesystem(path)
                 rows, size = [], 0
-                with files.open_input_stream(at) as f:
+                with files.open_input_stream(at, compression=None) as f:
                     for headers, block in records(f):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         length = int(http.rpartition(b"Content-Length: ")[2])
