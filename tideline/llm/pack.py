@@ -63,13 +63,12 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte
     Null or empty text: one piece with end_id alone. Null or repeated ids: each row is a document of its own.
     Empty table: no row. Other columns are ignored. A text longer than a block makes a block of its own.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         to_ids = tokens.encoder(tokenizer)
+        end = np.array([end_id], to_ids.dtype).tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         doc_ids, ids, held = [], [], 0
 
@@ -89,7 +88,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = to_ids(text.as_py()) + end
+                raw = np.frombuffer(to_ids(text.as_py()) + end, to_ids.dtype).astype("<u4").tobytes()
                 doc_ids.append(doc_id)
                 ids.append(raw)
                 held += len(raw) // 4

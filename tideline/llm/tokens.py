@@ -27,48 +27,87 @@ from . import common
 
 MAGIC, VERSION = b"TIDS", 1
 HEAD = "<4sIQQI"
-#: Distinct pieces whose ids a worker keeps. What it holds stays bounded; beyond that it starts anew.
-MEMO_PIECES = 400_000
+#: Units and pieces whose ids a worker keeps in each of two generations: a bound on its memory.
+KEPT = 700_000
 LONG_TEXT = 1 << 20
+#: Unicode's White_Space, which white space in the pattern stands for.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class Kept(dict):
+    """Results of make for the keys of late; a full generation replaces the one before, from which hits come back."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+            if len(key) > 64:
+                return ids
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
+def byte_alphabet() -> dict[str, str]:
+    """Bytes as the characters by which byte-level vocabularies write them: printable ones as they are, the others from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): chr(b) for b in plain} | {chr(b): chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """The tokenizers library over whole texts, one call for each distinct piece.
+    """The tokenizers library over whole texts: its model's merges, called once for each distinct piece.
 
-    The tokenizer cuts a text into pieces by its pattern before it merges bytes inside each piece, so the
-    ids of a text are those of its pieces in order; the ids of a piece are kept.
+    The tokenizer cuts a text into pieces by its pattern before it merges bytes inside each piece, so the ids of
+    a text are those of its pieces in order. No piece goes on from other characters into white space, and only
+    one space leads a piece, so cutting at white space first (units: an optional space and what follows it up to white
+    space, or white space) and then inside each unit gives the same pieces. Ids of units and pieces are kept.
+    Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, pattern: str):
+        import re
+
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-
-        class Memo(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = np.asarray(tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                if len(piece) <= 64:
-                    self[piece] = ids
-                return ids
-
-        self.memo, self.pattern = Memo(), regex.compile(pattern)
+        merge, to_alphabet = tokenizer.model.tokenize, str.maketrans(byte_alphabet())
+        #: Ids come in two bytes each where the vocabulary allows.
+        self.dtype, code = ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+
+        def ids_of(piece: str) -> bytes:
+            return struct.pack(f"<{len(t)}{code}", *[x.id for x in t]) if (t := merge(piece.encode().decode("latin1").translate(to_alphabet))) else b""
+
+        def of_unit(unit: str) -> bytes:
+            word = unit[1:] if unit[0] == " " else unit
+            if word.isalpha():
+                if word.isascii():  # such characters stand for themselves, and a space is the character of byte 32
+                    t = merge(space + word if word is not unit else word)
+                    return struct.pack(f"<{len(t)}{code}", *[x.id for x in t])
+                return ids_of(unit)
+            pieces = inside(unit)
+            return ids_of(unit) if len(pieces) == 1 else b"".join(map(of, pieces))
+
+        inside, space = regex.compile(pattern).findall, byte_alphabet()[" "]
+        self.units = Kept(of_unit, KEPT)
+        of = self.units.__getitem__
+        self.cut = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
     def __call__(self, text: str | None) -> bytes:
-        """Ids as little-endian u32; none for null or empty."""
+        """Ids as bytes of dtype; none for null or empty."""
         if not text:
             return b""
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
         if len(text) <= LONG_TEXT:
-            return b"".join(map(memo.__getitem__, self.pattern.findall(text)))
-        pieces, parts = (m[0] for m in self.pattern.finditer(text)), []
-        while some := list(islice(pieces, 100_000)):
-            parts.append(b"".join(map(memo.__getitem__, some)))
-            if len(memo) > MEMO_PIECES:
-                memo.clear()
+            return b"".join(map(self.units.__getitem__, self.cut.findall(text)))
+        units, parts = (m[0] for m in self.cut.finditer(text)), []
+        while some := list(islice(units, 100_000)):
+            parts.append(b"".join(map(self.units.__getitem__, some)))
         return b"".join(parts)
 
 
@@ -86,37 +125,48 @@ def encoder(name: str = "byte_bpe_50k.json") -> Encoder:
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of non-negative ranks under 2**32."""
     n = len(ranks)
-    length = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    padded[:n] = length - 1
+    extra = padded[:n]
+    top = int(ranks.max(initial=0))
+    for k in (1, 2, 3):
+        if top >> 8 * k:
+            extra += ranks >> np.uint32(8 * k) != 0
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    each = np.ascontiguousarray(ranks, dtype="<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), each[np.arange(4, dtype=np.uint8) < length[:, None]].tobytes()
+    begins = np.arange(n, dtype=np.int64)
+    begins[1:] += np.cumsum(extra[:-1], dtype=np.int64)
+    data = np.empty(n + int(extra.sum(dtype=np.int64)), dtype=np.uint8)
+    data[begins] = ranks.astype(np.uint8)
+    for k in (1, 2, 3):
+        if top >> 8 * k:
+            more = np.flatnonzero(extra >= k)
+            data[begins[more] + k] = (ranks[more] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
-#: For each control byte the four lengths.
-LENGTHS = (np.arange(256, dtype=np.int64)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+#: For each control byte the four lengths, less one.
+EXTRA = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks behind control and data bytes, by table lookup."""
-    length = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(length)
-    begins = ends - length
-    raw = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(3, dtype=np.uint8)])
+    extra = EXTRA[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
+    begins = np.arange(n, dtype=np.int64)
+    begins[1:] += np.cumsum(extra[:-1], dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)
     ranks = raw[begins].astype(np.uint32)
     for k in (1, 2, 3):
-        more = np.flatnonzero(length > k)
+        more = np.flatnonzero(extra >= k)
         if not len(more):
             break
         ranks[more] |= raw[begins[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
-def shard_bytes(doc_ids: list, ids: list[bytes]) -> bytes:
-    """One file's content."""
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
+def shard_bytes(doc_ids: list, ids: list[bytes], dtype: str = "<u4") -> bytes:
+    """One file's content; ids: each document's, as bytes of dtype."""
+    flat = np.frombuffer(b"".join(ids), dtype)
+    width = np.dtype(dtype).itemsize
     counts = np.bincount(flat) if len(flat) else np.zeros(0, dtype=np.int64)
     used = np.flatnonzero(counts)
     ranked = used[np.lexsort((used, -counts[used]))].astype("<u4")
@@ -126,7 +176,7 @@ def shard_bytes(doc_ids: list, ids: list[bytes]) -> bytes:
     return b"".join((
         struct.pack(HEAD, MAGIC, VERSION, len(doc_ids), len(flat), len(ranked)), ranked.tobytes(),
         np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes(), bytes(d is None for d in doc_ids),
-        np.array([len(x) // 4 for x in ids], dtype="<u8").tobytes(), control, data,
+        np.array([len(x) // width for x in ids], dtype="<u8").tobytes(), control, data,
     ))
 
 
@@ -159,7 +209,7 @@ def shard_bounds(docs: DataFrame, shard_text_bytes: int, id_column: str = "doc_i
     return sorted(set(cuts or []))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shard_text_bytes: int = 24 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shard_text_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode whole texts, append end_id to each and write token files in ascending id order under path.
 
     Returns the manifest: path, shard, part, n_docs, n_tokens; shard and part give the files' order. Texts are
@@ -171,20 +221,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     its ids' bytes. Empty table: no file. Other columns are ignored.
     """
     bounds = np.array(shard_bounds(docs, shard_text_bytes, id_column, text_column), dtype=np.int64)
-    most, end = 4 * shard_text_bytes, np.array([end_id], dtype="<u4").tobytes()
+    most = 2 * shard_text_bytes
 
     def encode(batches):
         import pyarrow as pa
         import zstandard
 
         to_ids, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        end, width = np.array([end_id], to_ids.dtype).tobytes(), np.dtype(to_ids.dtype).itemsize
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(doc_ids), 500):
                 some = doc_ids[lo : lo + 500]
-                packed = [packer.compress(pack_ids(to_ids(t.as_py()) + end)) for t in texts.slice(lo, 500)]
+                packed = [packer.compress(to_ids(t.as_py()) + end) for t in texts.slice(lo, 500)]
                 shard = [0 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in some]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "doc_id", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(some, pa.int64()), pa.array([width] * len(some), pa.int32()), pa.array(packed, pa.binary())], names=["shard", "doc_id", "width", "packed"])
 
     def write(batches):
         import pyarrow as pa
@@ -192,22 +243,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 
         unpacker = zstandard.ZstdDecompressor()
         made: list[tuple] = []
-        doc_ids, ids, size, now, part = [], [], 0, None, 0
+        doc_ids, ids, size, now, part, width = [], [], 0, None, 0, 4
 
         def flush():
             nonlocal doc_ids, ids, size, part
             if doc_ids:
                 name = f"{path}/shard-{now:08d}-{part:05d}.tids"
-                common.write_file(name, [shard_bytes(doc_ids, ids)])
-                made.append((name, now, part, len(doc_ids), size // 4))
+                common.write_file(name, [shard_bytes(doc_ids, ids, f"<u{width}")])
+                made.append((name, now, part, len(doc_ids), size // width))
                 doc_ids, ids, size, part = [], [], 0, part + 1
 
         for batch in batches:
-            for shard, doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for shard, doc_id, width, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     flush()
                     now, part = shard, 0
-                raw = unpack_ids(unpacker.decompress(packed))
+                raw = unpacker.decompress(packed)
                 if size + len(raw) > most:
                     flush()
                 doc_ids.append(doc_id)
@@ -216,22 +267,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made, strict=True) if made else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["path", "shard", "part", "n_docs", "n_tokens"])
 
-    ids = docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(encode, "shard int, doc_id long, packed binary")
+    ids = docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(encode, "shard int, doc_id long, width int, packed binary")
     n = len(bounds) + 1
     placed = ids.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "packed")
     return common.written(placed.mapInArrow(write, "path string, shard int, part int, n_docs long, n_tokens long"), "token-manifest")
 
 
-def pack_ids(raw: bytes) -> bytes:
-    """u32 ids with a mark, as u16 where all fit."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + raw
-
-
-def unpack_ids(packed: bytes) -> bytes:
-    return packed[1:] if packed[0] == 4 else np.frombuffer(packed, "<u2", offset=1).astype("<u4").tobytes()
-
-
 def read_token_files(manifest: DataFrame, batch_tokens: int = 1 << 20) -> DataFrame:
     """Documents behind a manifest: doc_id, start (ids in all documents before it), n_tokens, ids (u32 bytes).
 
