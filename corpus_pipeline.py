@@ -25,7 +25,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 ids."""
-    return pack.pack_documents(docs)
+    return pack.pack_documents(docs, kept=150_000)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("packing", packing)]

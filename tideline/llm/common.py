@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 import tempfile
@@ -73,6 +74,17 @@ def once_per_process(key: str, make: Callable):
     return kept[key]
 
 
+def forget() -> None:
+    """Drop what once_per_process() keeps; for stages that need the worker's memory for other things."""
+    if sys.__dict__.pop("_tideline_kept", None):
+        import ctypes
+        import gc
+
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column) -> list:
     """The UTF-8 bytes of an Arrow string column; None for null."""
     import pyarrow as pa

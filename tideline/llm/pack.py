@@ -52,12 +52,12 @@ def pack_block(lengths: list[int], capacity: int, linear: float = 1.0, quadratic
     return pieces
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, linear: float = 1.0, quadratic: float = 1.0 / 1024, block_tokens: int = 4 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, linear: float = 1.0, quadratic: float = 1.0 / 1024, block_tokens: int = 4 << 20, kept: int = 400_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pack every document (its ids, then end_id) into sequences of at most capacity ids.
 
     One row for each piece: doc_id, start, length, ids (u32 bytes), doc_tokens, sequence_id, offset. Each task
-    packs blocks of about block_tokens as they lie, so nothing is shuffled and a worker holds one block; a
-    block pads one sequence at most, under 1/4000 of its ids. sequence_id is the task's partition in the high
+    packs blocks of about block_tokens as they lie, so nothing is shuffled and a worker holds one
+    block (and what the encoder keeps, see there); a block pads one sequence at most, under 1/4000 of its ids. sequence_id is the task's partition in the high
     bits and a running number in the low; an unchanged input gives the same result again.
 
     Null or empty text: one piece with end_id alone. Null or repeated ids: each row is a document of its own.
@@ -67,7 +67,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte
         import pyarrow as pa
         from pyspark import TaskContext
 
-        to_ids = tokens.encoder(tokenizer)
+        to_ids = tokens.encoder(tokenizer, kept)
         end = np.array([end_id], to_ids.dtype).tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         doc_ids, ids, held = [], [], 0

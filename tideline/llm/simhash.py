@@ -168,6 +168,7 @@ def profiles(docs: DataFrame, width: int, prints: int, seed: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        common.forget()
         for batch in batches:
             fps, sets = [], []
             for t in common.text_bytes(batch.column(2)):

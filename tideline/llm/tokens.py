@@ -70,7 +70,7 @@ class Encoder:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, kept: int = KEPT):
         import re
 
         import regex
@@ -95,7 +95,7 @@ class Encoder:
             return ids_of(unit) if len(pieces) == 1 else b"".join(map(of, pieces))
 
         inside, space = regex.compile(pattern).findall, byte_alphabet()[" "]
-        self.units = Kept(of_unit, KEPT)
+        self.units = Kept(of_unit, kept)
         of = self.units.__getitem__
         self.cut = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
@@ -111,15 +111,15 @@ class Encoder:
         return b"".join(parts)
 
 
-def encoder(name: str = "byte_bpe_50k.json") -> Encoder:
-    """The worker's encoder; name: a byte-level BPE file of the installed public tokenizers."""
+def encoder(name: str = "byte_bpe_50k.json", kept: int = KEPT) -> Encoder:
+    """The worker's encoder; name: a byte-level BPE file of the installed public tokenizers; kept: a bound on what it keeps."""
 
     def make():
         import public_tokenizers
 
-        return Encoder(public_tokenizers.path(name), public_tokenizers.PATTERN)
+        return Encoder(public_tokenizers.path(name), public_tokenizers.PATTERN, kept)
 
-    return common.once_per_process(f"encoder {name}", make)
+    return common.once_per_process(f"encoder {name} {kept}", make)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
