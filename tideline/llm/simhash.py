@@ -212,9 +212,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, pr
     docs: node, doc_id, text. Texts link at a Jaccard similarity of their sets of width-word shingles of at least
     similarity, computed exactly. Candidates meet in a bucket of the covering tables of one of several independent
     SimHash fingerprints of their distinct words: an edited word changes width shingles but one word, so these
-    fingerprints differ in few bits where shingles' own differ in many. In a bucket each text is compared with
-    the one that meets most others and with its neighbour in that order, so pairs grow with rows, not with the
-    square of a group; a second round compares texts that are still apart with other members.
+    fingerprints differ in few bits where shingles' own differ in many. Each text is first compared with the one,
+    of all in its buckets, that meets most others; then, in each bucket where it is still apart from the others, with the
+    bucket's foremost text and its neighbour in that order. So pairs grow with rows, not with the square of a group.
     """
     per_doc = common.written(profiles(docs, width, prints, seed), "near-profiles")
     texts = per_doc.groupBy("node").agg(F.first("fps").alias("fps"))
@@ -223,28 +223,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, pr
     rows = texts.select("node", F.explode(F.expr(f"array({keys})")).alias("bucket"))
     counted = rows.select("node", "bucket", F.count(F.lit(1)).over(Window.partitionBy("bucket")).alias("members")).where("members > 1")
     met = common.written(counted, "near-buckets")
-    degree = common.written(met.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "near-degree")
-    sets = common.written(per_doc.join(degree.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
-    ranked = common.written(met.join(degree, "node"), "near-ranked")
+    # A text that shares buckets with many others lies near the middle of its group.
+    weights = common.written(met.groupBy("node").agg(F.sum("members").alias("weight")), "near-weights")
+    sets = common.written(per_doc.join(weights.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    ranked = common.written(met.join(weights, "node"), "near-ranked")
     found, roots = None, None
-    for turn in range(2):
-        if turn:
-            rows = common.written(ranked.join(roots, ranked.node == roots.node, "left").select(ranked.node, "bucket", "members", "degree", F.coalesce("root", ranked.node).alias("root")), "near-rooted")
-        else:
+    for turn in ("middle", "hubs"):
+        if roots is None:
             rows = ranked.withColumn("root", F.col("node"))
-        rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("degree")
-        hubs = common.written(rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "node", "root")).alias("hub")), "near-hubs")
-        to_hub = rows.join(hubs, "bucket").where("root <> hub.root").select("node", F.col("hub.node").alias("other"))
-        chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))).orderBy(rank, "node")
-        to_next = rows.select("node", "root", F.lag("node").over(chain).alias("other"), F.lag("root").over(chain).alias("its")).where("root <> its").select("node", "other")
-        pairs = to_hub.unionAll(to_next).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = common.written(pairs, "near-pairs")
+        else:
+            rows = common.written(ranked.join(roots, ranked.node == roots.node, "left").select(ranked.node, "bucket", "members", "weight", F.coalesce("root", ranked.node).alias("root")), "near-rooted")
+        hubs = common.written(rows.groupBy("bucket").agg(F.max(F.struct("weight", "node", "root")).alias("hub")), "near-hubs")
+        met_hub = rows.join(hubs, "bucket").where("root <> hub.root")
+        if turn == "middle":
+            pairs = met_hub.groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("other"))
+        else:
+            chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))).orderBy("weight", "node")
+            to_next = rows.select("node", "root", F.lag("node").over(chain).alias("other"), F.lag("root").over(chain).alias("its")).where("root <> its").select("node", "other")
+            pairs = met_hub.select("node", F.col("hub.node").alias("other")).unionAll(to_next)
+        pairs = common.written(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near-pairs")
         linked = common.written(jaccard_at_least(pairs, sets, similarity), "near-links")
+        if found is not None and linked.isEmpty():
+            continue
         found = linked if found is None else found.unionAll(linked)
-        if turn and linked.isEmpty():
-            break
         roots = common.written(components(found), "near-roots")
-    common.discard(per_doc, met, sets, ranked, degree)
+    common.discard(per_doc, met, sets, ranked, weights)
     return roots
 
 
