@@ -74,15 +74,31 @@ def once_per_process(key: str, make: Callable):
     return kept[key]
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system; an idle worker would hold it next to the executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def forget() -> None:
     """Drop what once_per_process() keeps; for stages that need the worker's memory for other things."""
     if sys.__dict__.pop("_tideline_kept", None):
-        import ctypes
-        import gc
+        trim()
+
 
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+def slices(batches, rows: int = 1000):
+    """The rows of Arrow batches in batches of at most so many, so that lists of their values stay short."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    trim()
 
 
 def text_bytes(column) -> list:

@@ -86,7 +86,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte
             base += 1 + max((p[3] for p in pieces), default=-1)
             doc_ids, ids, held = [], [], 0
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = np.frombuffer(to_ids(text.as_py()) + end, to_ids.dtype).astype("<u4").tobytes()
                 doc_ids.append(doc_id)
@@ -95,5 +95,6 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte
                 if held >= block_tokens:
                     yield from flush()
         yield from flush()
+        common.trim()
 
     return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

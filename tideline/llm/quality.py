@@ -57,7 +57,7 @@ def with_stats(docs: DataFrame, keep: list[str] | None = None, text_column: str
         import pyarrow as pa
 
         common.forget()
-        for batch in batches:
+        for batch in common.slices(batches):
             stats = [text_stats(t or b"") for t in common.text_bytes(batch.column(at))]
             columns = [pa.array([s[k] for s in stats], pa.int64()) for k in range(5)]
             struct = pa.StructArray.from_arrays(columns, [f.split()[0] for f in STATS.split(", ")])

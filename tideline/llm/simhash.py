@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_column: str
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.slices(batches):
             fps = [majority(hashed(shingles((t or b"").lower().split(), width), seed)) for t in common.text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
@@ -169,7 +169,7 @@ def profiles(docs: DataFrame, width: int, prints: int, seed: int) -> DataFrame:
         import pyarrow as pa
 
         common.forget()
-        for batch in batches:
+        for batch in common.slices(batches):
             fps, sets = [], []
             for t in common.text_bytes(batch.column(2)):
                 words = (t or b"").lower().split()
@@ -190,7 +190,7 @@ def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> Da
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
