@@ -297,8 +297,10 @@ def read_token_files(manifest: DataFrame, batch_tokens: int = 1 << 20) -> DataFr
                 lo = 0
                 while lo < len(doc_ids):
                     hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + batch_tokens, side="right")))
-                    raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi] + first), pa.array(lengths[lo:hi]), pa.array(raw, pa.large_binary()).cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    # Documents lie one behind another: their ids are one buffer, cut by offsets.
+                    cuts = ((np.append(starts[lo:hi], ends[hi - 1]) - starts[lo]) * 4).astype(np.int32)
+                    raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(ids[starts[lo] : ends[hi - 1]], "<u4"))])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi] + first), pa.array(lengths[lo:hi]), raw], names=["doc_id", "start", "n_tokens", "ids"])
                     lo = hi
 
     tasks = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
