@@ -363,7 +363,7 @@ PLAIN = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"flagship": flagship} | {f.__name__: f for f in PLAIN}
-    out |= {"labels_hmm": detected("hmm", restarts=2, rounds=30), "labels_jump": detected("jump", tries=2, rounds=20), "labels_changepoint": detected("changepoint")}
+    out |= {"labels_hmm": detected("hmm"), "labels_jump": detected("jump"), "labels_changepoint": detected("changepoint")}
     return out | {f"weights_{n}": allocated(n) for n in ("equal_weight", "mean_variance", "min_variance", "risk_parity", "min_cvar", "hrp")}
 
 
