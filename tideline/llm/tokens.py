@@ -29,6 +29,8 @@ MAGIC, VERSION = b"TIDS", 1
 HEAD = "<4sIQQI"
 #: Units and pieces whose ids a worker keeps in each of two generations: a bound on its memory.
 KEPT = 700_000
+#: Whole texts whose packed ids a worker keeps by 128-bit hash, likewise: groups of copies are encoded once.
+KEPT_TEXTS = 10_000
 LONG_TEXT = 1 << 20
 #: Unicode's White_Space, which white space in the pattern stands for.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -133,8 +135,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
             extra += ranks >> np.uint32(8 * k) != 0
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    begins = np.arange(n, dtype=np.int64)
-    begins[1:] += np.cumsum(extra[:-1], dtype=np.int64)
+    offset = np.int32 if 4 * n < 1 << 31 else np.int64
+    begins = np.arange(n, dtype=offset)
+    begins[1:] += np.cumsum(extra[:-1], dtype=offset)
     data = np.empty(n + int(extra.sum(dtype=np.int64)), dtype=np.uint8)
     data[begins] = ranks.astype(np.uint8)
     for k in (1, 2, 3):
@@ -151,8 +154,9 @@ EXTRA = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks behind control and data bytes, by table lookup."""
     extra = EXTRA[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    begins = np.arange(n, dtype=np.int64)
-    begins[1:] += np.cumsum(extra[:-1], dtype=np.int64)
+    offset = np.int32 if 4 * n < 1 << 31 else np.int64
+    begins = np.arange(n, dtype=offset)
+    begins[1:] += np.cumsum(extra[:-1], dtype=offset)
     raw = np.frombuffer(data, dtype=np.uint8)
     ranks = raw[begins].astype(np.uint32)
     for k in (1, 2, 3):
@@ -225,17 +229,30 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 
     def encode(batches):
         import pyarrow as pa
+        import xxhash
         import zstandard
 
         to_ids, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         end, width = np.array([end_id], to_ids.dtype).tobytes(), np.dtype(to_ids.dtype).itemsize
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(doc_ids), 500):
-                some = doc_ids[lo : lo + 500]
-                packed = [packer.compress(to_ids(t.as_py()) + end) for t in texts.slice(lo, 500)]
-                shard = [0 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in some]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(some, pa.int64()), pa.array([width] * len(some), pa.int32()), pa.array(packed, pa.binary())], names=["shard", "doc_id", "width", "packed"])
+        copies = common.once_per_process(f"texts {tokenizer} {end_id}", lambda: [{}, {}])
+
+        def packed(text: bytes | None) -> bytes:
+            key = xxhash.xxh3_128_digest(text or b"")
+            out = copies[0].get(key) or copies[1].get(key)
+            if out is None:
+                out = packer.compress(to_ids(text.decode() if text else None) + end)
+                if len(out) <= 1 << 14:
+                    if len(copies[0]) >= KEPT_TEXTS:
+                        copies[:] = [{}, copies[0]]
+                    copies[0][key] = out
+            return out
+
+        for batch in common.slices(batches, 500):
+            doc_ids, texts = batch.column(0).to_pylist(), common.text_bytes(batch.column(1))
+            shard = np.searchsorted(bounds, [0 if d is None else d for d in doc_ids], side="right").astype(np.int32)
+            if None in doc_ids:
+                shard[[k for k, d in enumerate(doc_ids) if d is None]] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(doc_ids, pa.int64()), pa.array([width] * len(doc_ids), pa.int32()), pa.array(map(packed, texts), pa.binary())], names=["shard", "doc_id", "width", "packed"])
 
     def write(batches):
         import pyarrow as pa
