@@ -104,3 +104,12 @@ def test_entry_points(spark, sf):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     for name in ("calendar_days", "price_panel", "common_coverage", "events_tumbling"):
         assert entry.queries()[name](spark, sf).count() > 0
+
+
+def test_column_helpers(spark):
+    from tideline.functions import columns as c
+
+    row = spark.sql("SELECT double('NaN') AS x, 2 AS s, 1.0D AS a, 0.0D AS b, DATE '2020-01-01' AS d").select(
+        c.null_nan(F.col("x")).alias("x"), c.state_label(F.col("s")).alias("s"), c.safe_div(F.col("a"), F.col("b")).alias("q"), c.year_fraction(F.col("d"), F.date_add("d", 731)).alias("y")
+    ).first()
+    assert row["x"] is None and row["s"] == "crisis" and row["q"] is None and row["y"] == pytest.approx(731 / 365.25)
