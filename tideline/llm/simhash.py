@@ -206,7 +206,7 @@ def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = 6, radius: int = 4, seed: int = 42) -> DataFrame:
     """(node, root) of those distinct texts that are near duplicates of others; node: xxhash64 of the text.
 
     docs: node, doc_id, text. Texts link at a Jaccard similarity of their sets of width-word shingles of at least
