@@ -237,6 +237,45 @@ def test_near_duplicates_leave_one_of_each_group(spark, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def near_roots(spark, texts, **how):
+    """The groups of near_duplicates() as sets of positions in texts, and those of brute force."""
+    nodes = random.Random(5).sample(range(2**62), len(texts))  # near copies aren't neighbours in their order
+    frame = spark.createDataFrame([(n, k, t) for k, (n, t) in enumerate(zip(nodes, texts, strict=True))], "node long, doc_id long, text string")
+    found = defaultdict(set)
+    for r in simhash.near_duplicates(frame, **how).collect():
+        found[r["root"]].add(nodes.index(r["node"]))
+    sets = [shingle_set(t) for t in texts]
+    linked = defaultdict(set)
+    for k, c in groups([(a, b) for a, b in combinations(range(len(texts)), 2) if similarity(sets[a], sets[b]) >= 0.8], range(len(texts))).items():
+        linked[c].add(k)
+    return sorted(map(sorted, found.values())), sorted(sorted(g) for g in linked.values() if len(g) > 1)
+
+
+def permuted_pairs(rng, count):
+    """Pairs of near copies, all of the same words but each pair in an order of its own."""
+    words, texts = [f"w{k}" for k in range(120)], []
+    for _ in range(count):
+        rng.shuffle(words)
+        other = list(words)
+        other[60], other[61] = other[61], other[60]
+        texts += [" ".join(words), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("how", [{}, {"most": 3}])
+def test_near_duplicates_in_crowded_buckets(spark, how):
+    rng = random.Random(11)
+    # The same words in other orders; and lists that share over half of their passages, so that shingles meet in crowds too.
+    texts = permuted_pairs(rng, 120)
+    passages = [" ".join(rand_text(rng, 12, 10**6).split()) for _ in range(16)]
+    for _ in range(60):
+        mine = " ".join(rng.sample(passages, 12))
+        texts += [mine, mine + " one more"]
+    got, want = near_roots(spark, texts, **how)
+    assert got == want
+    assert len(want) > 120
+
+
 def test_targets():
     assert mix.targets([10, 10, 10], [1, 2, 3]) == [5, 10, 15]
     got = mix.targets([100, 1, 100], [1, 2, 3])

@@ -153,34 +153,176 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, seed: int =
     return per_doc.join(joined, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Other 64-bit hashes of the same items: a finaliser of xor-shifts and multiplications over hash plus k steps."""
-    with np.errstate(over="ignore"):
-        x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+def shingle_set(text: bytes | None, width: int, seed: int) -> np.ndarray:
+    """Sorted distinct u64 hashes of the text's shingles."""
+    return np.unique(hashed(shingles((text or b"").lower().split(), width), seed))
 
 
-def profiles(docs: DataFrame, width: int, prints: int, seed: int) -> DataFrame:
-    """node, doc_id, fps (prints fingerprints of the distinct words) and shingles (sorted distinct u64 hashes, as bytes)."""
+def frequent(docs: DataFrame, width: int, seed: int, sample: int = 4000, most: int = 100_000) -> np.ndarray:
+    """Hashes of shingles that some sample of the texts holds three times or more, the most frequent first.
+
+    They only set the order in which prefixes are taken: any order finds every pair, this one keeps buckets small.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in common.slices(batches):
+            flat = np.concatenate([np.zeros(0, "<u8"), *(shingle_set(t, width, seed) for t in common.text_bytes(batch.column(0)))])
+            values, counts = np.unique(flat, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"])
+
+    every = max(1, docs.select("node").count() // sample)
+    some = docs.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(every)) == 0).select("text")
+    counted = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 3")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(most).toArrow().column("shingle")
+    return top.to_numpy().view(np.uint64)
+
+
+def parities(hashes: np.ndarray, bits: int = 1024) -> bytes:
+    """A bitmap: bit k is the parity of the hashes that are k modulo bits. Two differ in at most as many bits as their sets in items."""
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def profiles(docs: DataFrame, width: int, similarity: float, seed: int, often: np.ndarray, levels: int) -> DataFrame:
+    """node, n (shingles), need (how many of them a text that links must share), prefix and bits (parities).
+
+    prefix: the first n - need + levels shingles, the rare before the often ones, these from the rarest on. Texts that
+    link share a shingle of their first n - need + 1, and a k-th of their first n - need + k.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         common.forget()
+        by_hash = np.argsort(often)
+        known = np.append(often[by_hash], np.uint64(2**64 - 1))
+        place = np.append(len(often) - by_hash, 0)
+        for batch in common.slices(batches):
+            n, need, firsts, bits = [], [], [], []
+            for t in common.text_bytes(batch.column(1)):
+                own = shingle_set(t, width, seed)
+                at = np.searchsorted(known[:-1], own)
+                order = np.argsort(np.where(known[at] == own, place[at], 0), kind="stable")
+                n.append(len(own))
+                need.append(int(np.ceil(similarity * len(own) - 1e-9)))
+                # Texts without a shingle link with each other: they share the shingle 0.
+                firsts.append(own[order[: n[-1] - need[-1] + levels]].view(np.int64) if n[-1] else np.zeros(1, np.int64))
+                bits.append(parities(own))
+            offsets = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
+            prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(need, pa.int32()), prefix, pa.array(bits, pa.binary())], names=["node", "n", "need", "prefix", "bits"]
+            )
+
+    return docs.select("node", "text").mapInArrow(run, "node long, n int, need int, prefix array<long>, bits binary")
+
+
+def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """node and shingles (sorted distinct u64 hashes, as bytes) of every row."""
+
+    def run(batches):
+        import pyarrow as pa
+
         for batch in common.slices(batches):
-            fps, sets = [], []
-            for t in common.text_bytes(batch.column(2)):
-                words = (t or b"").lower().split()
-                own = np.sort(hashed(list(set(words)), seed))
-                fps += [majority(mixed(own, k)) for k in range(prints)]
-                sets.append(np.unique(hashed(shingles(words, width), seed)).tobytes())
-            flat = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            offsets = pa.array(np.arange(0, len(fps) + 1, prints, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat), pa.array(sets, pa.binary())], names=["node", "doc_id", "fps", "shingles"])
+            sets = [shingle_set(t, width, seed).tobytes() for t in common.text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
 
-    return docs.select("node", "doc_id", "text").mapInArrow(run, "node long, doc_id long, fps array<long>, shingles binary")
+def may_link(node: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs of different roots that sizes and parities let link; rows are in order of root."""
+    begins = np.searchsorted(root, root)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(int(np.searchsorted(root, root[0], "right")), len(node)):
+        to = begins[i]
+        j = np.flatnonzero(np.minimum(n[:to], n[i]) >= similarity * np.maximum(n[:to], n[i]) - 1e-9)
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        j = j[apart <= (n[j] + n[i]) * (1 - similarity) / (1 + similarity) + 1e-9]
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def possible(pairs: DataFrame, per_text: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes that sizes and parities let link; the others' shingles need not be read."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in common.slices(batches):
+            n, m = (batch.column(c).to_numpy() for c in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (3, 5))
+            close = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = close & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = per_text.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
+    right = per_text.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
+
+
+def pairs_apart(rows: DataFrame, per_text: DataFrame, similarity: float, most: int, levels: int) -> DataFrame:
+    """All pairs (a, b) of nodes of different roots that share a bucket and may link, each bucket whole.
+
+    rows: node, bucket, at (place of the bucket's shingle in the prefix), root. A bucket of over most members is
+    split by a further shingle that texts which link must share; what is still large after levels shingles is
+    compared in one piece.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        def compare(rows):
+            bucket, node, root, n = (rows.column(c).to_numpy() for c in ("bucket", "node", "root", "n"))
+            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                i, j = may_link(node[lo:hi], root[lo:hi], n[lo:hi], bits[lo:hi], similarity)
+                for k in range(0, len(i), 100_000):
+                    yield out(node[lo + i[k : k + 100_000]], node[lo + j[k : k + 100_000]])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            # The last bucket of a batch may go on in the next one.
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            if held and last:
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif last:
+                yield from compare(pa.Table.from_batches([batch.slice(0, last)]))
+            elif held and held[-1].column(0)[0].as_py() != bucket[0]:
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+        common.trim()
+
+    found, own = None, Window.partitionBy("bucket")
+    for level in range(1, levels + 1):
+        counted = rows.withColumns({"members": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own)})
+        apart = common.written(counted.where("lo <> hi").drop("lo", "hi"), f"near-apart-{level}")
+        whole = apart if level == levels else apart.where(F.col("members") <= most)
+        whole = whole.join(per_text, "node").select("bucket", "root", "node", "n", "bits").repartition("bucket").sortWithinPartitions("bucket", "root")
+        pairs = whole.mapInArrow(run, "a long, b long")
+        found = pairs if found is None else found.unionAll(pairs)
+        crowded = apart.where(F.col("members") > most)
+        if level == levels or crowded.isEmpty():
+            return found.distinct()
+        # Texts that need no further shingle also stay together.
+        further = f"filter(transform(prefix, (s, k) -> struct(s, cast(k as int) as k)), e -> e.k > at and e.k < n - need + {level + 1})"
+        further = f"concat({further}, if(need <= {level}, array(struct(0L as s, at as k)), array()))"
+        split = crowded.join(per_text.select("node", "n", "need", "prefix"), "node").select("node", "bucket", "root", F.explode(F.expr(further)).alias("e"))
+        rows = split.select("node", F.expr("xxhash64(bucket, e.s)").alias("bucket"), F.col("e.k").alias("at"), "root")
 
 
 def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -206,48 +348,53 @@ def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, most: int = 2000, levels: int = 3) -> DataFrame:
     """(node, root) of those distinct texts that are near duplicates of others; node: xxhash64 of the text.
 
-    docs: node, doc_id, text. Texts link at a Jaccard similarity of their sets of width-word shingles of at least
-    similarity, computed exactly. Candidates meet in a bucket of the covering tables of one of several independent
-    SimHash fingerprints of their distinct words: an edited word changes width shingles but one word, so these
-    fingerprints differ in few bits where shingles' own differ in many. Each text is first compared with the one,
-    of all in its buckets, that meets most others; then, in each bucket where it is still apart from the others, with the
-    bucket's foremost text and its neighbour in that order. So pairs grow with rows, not with the square of a group.
+    docs: node, text. Texts link at a Jaccard similarity of their sets of width-word shingles of at least
+    similarity, computed exactly; roots are those of all links. Candidates meet in a bucket of a shingle of their
+    prefixes, as all texts that link do. Each text is first compared with the one, of all in its buckets, that meets
+    most others; then, in each bucket where it is still apart from the others, with the bucket's foremost text and its
+    neighbour in that order. That joins most of a group by few pairs; at last all pairs that are still apart and meet in
+    a bucket are compared.
     """
-    per_doc = common.written(profiles(docs, width, prints, seed), "near-profiles")
-    texts = per_doc.groupBy("node").agg(F.first("fps").alias("fps"))
-    masks = covering_masks(radius, seed)
-    keys = ", ".join(f"xxhash64({k}, {m}, fps[{k}] & {signed(mask)}L)" for k in range(prints) for m, mask in enumerate(masks))
-    rows = texts.select("node", F.explode(F.expr(f"array({keys})")).alias("bucket"))
-    counted = rows.select("node", "bucket", F.count(F.lit(1)).over(Window.partitionBy("bucket")).alias("members")).where("members > 1")
+    distinct = docs.select("node", "text").dropDuplicates(["node"])
+    per_text = common.written(profiles(distinct, width, similarity, seed, frequent(distinct, width, seed), levels), "near-profiles")
+    rows = per_text.select("node", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "bucket"))
+    counted = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("members > 1")
     met = common.written(counted, "near-buckets")
     # A text that shares buckets with many others lies near the middle of its group.
     weights = common.written(met.groupBy("node").agg(F.sum("members").alias("weight")), "near-weights")
-    sets = common.written(per_doc.join(weights.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
     ranked = common.written(met.join(weights, "node"), "near-ranked")
     found, roots = None, None
-    for turn in ("middle", "hubs"):
+    for turn in ("middle", "hubs", "rest"):
         if roots is None:
             rows = ranked.withColumn("root", F.col("node"))
         else:
-            rows = common.written(ranked.join(roots, ranked.node == roots.node, "left").select(ranked.node, "bucket", "members", "weight", F.coalesce("root", ranked.node).alias("root")), "near-rooted")
-        hubs = common.written(rows.groupBy("bucket").agg(F.max(F.struct("weight", "node", "root")).alias("hub")), "near-hubs")
-        met_hub = rows.join(hubs, "bucket").where("root <> hub.root")
-        if turn == "middle":
-            pairs = met_hub.groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("other"))
+            rows = common.written(ranked.join(roots, ranked.node == roots.node, "left").select(ranked.node, "bucket", "at", "members", "weight", F.coalesce("root", ranked.node).alias("root")), "near-rooted")
+        if turn == "rest":
+            pairs = common.written(pairs_apart(rows.select("node", "bucket", "at", "root"), per_text, similarity, most, levels), "near-pairs")
         else:
-            chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))).orderBy("weight", "node")
-            to_next = rows.select("node", "root", F.lag("node").over(chain).alias("other"), F.lag("root").over(chain).alias("its")).where("root <> its").select("node", "other")
-            pairs = met_hub.select("node", F.col("hub.node").alias("other")).unionAll(to_next)
-        pairs = common.written(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near-pairs")
+            hubs = common.written(rows.groupBy("bucket").agg(F.max(F.struct("weight", "node", "root")).alias("hub")), "near-hubs")
+            met_hub = rows.join(hubs, "bucket").where("root <> hub.root")
+            if turn == "middle":
+                pairs = met_hub.groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("other"))
+            else:
+                chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))).orderBy("weight", "node")
+                to_next = rows.select("node", "root", F.lag("node").over(chain).alias("other"), F.lag("root").over(chain).alias("its")).where("root <> its").select("node", "other")
+                pairs = met_hub.select("node", F.col("hub.node").alias("other")).unionAll(to_next)
+            pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = common.written(possible(pairs, per_text, similarity), "near-pairs")
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        some = docs.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
+        sets = common.written(shingle_sets(some, width, seed), "near-sets")
         linked = common.written(jaccard_at_least(pairs, sets, similarity), "near-links")
+        common.discard(sets)
         if found is not None and linked.isEmpty():
             continue
         found = linked if found is None else found.unionAll(linked)
         roots = common.written(components(found), "near-roots")
-    common.discard(per_doc, met, sets, ranked, weights)
+    common.discard(per_text, met, ranked, weights)
     return roots
 
 
