@@ -276,6 +276,19 @@ def test_near_duplicates_in_crowded_buckets(spark, how):
     assert len(want) > 120
 
 
+def test_near_duplicates_by_kind_of_edit(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(120):
+        words, new = rand_text(rng, 200, 10**6).split(), rand_text(rng, 60, 10**6).split()
+        size = rng.randrange(36, 49)
+        edited = [new[:size] + words, words + new[:size], words[:100] + new[:size] + words[100:]][k % 3]
+        texts += [" ".join(words), " ".join(edited)]
+    got, want = near_roots(spark, texts)
+    assert got == want
+    assert len(want) > 90
+
+
 def test_targets():
     assert mix.targets([10, 10, 10], [1, 2, 3]) == [5, 10, 15]
     got = mix.targets([100, 1, 100], [1, 2, 3])
