@@ -51,7 +51,6 @@ def encoded(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -88,6 +87,16 @@ def test_long_texts_are_encoded_whole():
     assert np.frombuffer(tokens.encoder()(text), tokens.encoder().dtype).tolist() == encoded([text])[0][:-1]
 
 
+def test_strings_of_special_tokens():
+    mark = "<|endoftext|>"
+    texts = [mark, f"{mark} a", f"a {mark}", f"a {mark} b", f"{mark}{mark}", f" {mark}  {mark} ", f"don{mark}'t", f"<|endoftext{mark}|>", "<|endoftext", f"a\n\n{mark}\n b", f"{mark[:-1]} {mark}"]
+    texts += [f"{t} é {t}" for t in texts] + [f"ab 12 {mark}\n" * 100_000]
+    one = tokens.encoder()
+    for text, want in zip(texts, encoded(texts), strict=True):
+        assert np.frombuffer(one(text), one.dtype).tolist() == want[:-1]
+        assert (mark in text) == (50256 in want)
+
+
 def check_pieces(rows, want, capacity):
     """Every id in exactly one piece, sequences gapless and within capacity, little padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

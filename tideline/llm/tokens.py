@@ -29,8 +29,10 @@ MAGIC, VERSION = b"TIDS", 1
 HEAD = "<4sIQQI"
 #: Units and pieces whose ids a worker keeps in each of two generations: a bound on its memory.
 KEPT = 700_000
-#: Whole texts whose packed ids a worker keeps by 128-bit hash, likewise: groups of copies are encoded once.
+#: Whole texts whose packed ids a worker keeps by SHA-256, likewise: groups of copies are encoded once.
 KEPT_TEXTS = 10_000
+#: Ranges of doc_id at most: their bounds travel with every task. Beyond, a range makes more files.
+MOST_SHARDS = 100_000
 LONG_TEXT = 1 << 20
 #: Unicode's White_Space, which white space in the pattern stands for.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,7 +71,8 @@ class Encoder:
     a text are those of its pieces in order. No piece goes on from other characters into white space, and only
     one space leads a piece, so cutting at white space first (units: an optional space and what follows it up to white
     space, or white space) and then inside each unit gives the same pieces. Ids of units and pieces are kept.
-    Strings of special tokens in a text are ordinary text.
+    Strings of the tokenizer's added tokens are taken out first, the longest that begins leftmost, as the library
+    does by default: each is its own id, and what lies between is encoded by itself.
     """
 
     def __init__(self, path: str, pattern: str, kept: int = KEPT):
@@ -96,6 +99,10 @@ class Encoder:
             pieces = inside(unit)
             return ids_of(unit) if len(pieces) == 1 else b"".join(map(of, pieces))
 
+        self.added = {t.content: struct.pack(f"<{code}", k) for k, t in tokenizer.get_added_tokens_decoder().items()}
+        if odd := [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.lstrip or t.rstrip or t.single_word or t.normalized]:
+            raise ValueError(f"added tokens {odd} take their surroundings or other forms with them, which isn't supported")
+        self.part = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         inside, space = regex.compile(pattern).findall, byte_alphabet()[" "]
         self.units = Kept(of_unit, kept)
         of = self.units.__getitem__
@@ -105,6 +112,12 @@ class Encoder:
         """Ids as bytes of dtype; none for null or empty."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return b"".join(self.added[x] if k & 1 else self.plain(x) for k, x in enumerate(self.part.split(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if len(text) <= LONG_TEXT:
             return b"".join(map(self.units.__getitem__, self.cut.findall(text)))
         units, parts = (m[0] for m in self.cut.finditer(text)), []
@@ -204,9 +217,9 @@ def read_shard(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def shard_bounds(docs: DataFrame, shard_text_bytes: int, id_column: str = "doc_id", text_column: str = "text") -> list[int]:
-    """doc_ids at which shards of about equal numbers of rows begin, so many that their texts average shard_text_bytes at most, and that every task of a shuffle has one of 1 MB at least."""
+    """doc_ids at which shards of about equal numbers of rows begin, so many that their texts average shard_text_bytes at most, and that every task of a shuffle has one of 1 MB at least; MOST_SHARDS at most."""
     total = int(docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0)
-    n = max(-(-total // shard_text_bytes), min(total >> 20, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(MOST_SHARDS, max(-(-total // shard_text_bytes), min(total >> 20, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     if n < 2:
         return []
     cuts = docs.agg(F.percentile_approx(id_column, [i / n for i in range(1, n)], min(1_000_000, 50 * n))).first()[0]
@@ -218,8 +231,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 
     Returns the manifest: path, shard, part, n_docs, n_tokens; shard and part give the files' order. Texts are
     encoded once where they lie; only packed ids move, once, to the shard of their doc_id. Files hold about
-    shard_text_bytes of text; a shard with more (repeated ids, long texts) is cut into further parts, so a
-    task's memory stays bounded.
+    shard_text_bytes of text; a shard with more (repeated ids, long texts, over MOST_SHARDS files) is cut into
+    further parts, so a task's memory stays bounded.
 
     Null text: only end_id. Null ids come first. Repeated ids: each row is a document of its own, ordered by
     its ids' bytes. Empty table: no file. Other columns are ignored.
@@ -228,8 +241,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     most = 2 * shard_text_bytes
 
     def encode(batches):
+        import hashlib
+
         import pyarrow as pa
-        import xxhash
         import zstandard
 
         to_ids, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
@@ -237,7 +251,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         copies = common.once_per_process(f"texts {tokenizer} {end_id}", lambda: [{}, {}])
 
         def packed(text: bytes | None) -> bytes:
-            key = xxhash.xxh3_128_digest(text or b"")
+            key = hashlib.sha256(text or b"").digest()
             out = copies[0].get(key) or copies[1].get(key)
             if out is None:
                 out = packer.compress(to_ids(text.decode() if text else None) + end)
@@ -293,13 +307,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 def read_token_files(manifest: DataFrame, batch_tokens: int = 1 << 20) -> DataFrame:
     """Documents behind a manifest: doc_id, start (ids in all documents before it), n_tokens, ids (u32 bytes).
 
-    One row of the manifest stands for one file, so the running sum that gives each file its start goes over
-    few rows; documents' own starts follow inside each file.
+    The running sum that gives each file its start goes over shards, at most MOST_SHARDS rows, then over the parts
+    of each shard; documents' own starts follow inside each file. Null and repeated doc_ids come back as they were
+    written. An empty manifest gives no row.
     """
     from pyspark.sql import Window
 
-    order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).select("path", "first", "shard")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", before(Window.orderBy("shard"), "n").alias("base"))
+    files = manifest.withColumn("inside", before(Window.partitionBy("shard").orderBy("part"), "n_tokens")).join(shards, "shard")
+    files = files.select("path", (F.col("base") + F.col("inside")).alias("first"), "shard")
 
     def read(batches):
         import pyarrow as pa
