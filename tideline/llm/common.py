@@ -17,9 +17,11 @@ WORD_BREAKS = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset one is made in local mode, as in tests; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -115,6 +117,16 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WORD_BREAKS}]+")), F.lit(0)).cast("long")
 
 
+def as_row(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """docs with all its columns inside one struct, row, beside the columns more: whatever docs calls its columns, they clash with none of an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def row_columns(columns: list[str]) -> list[F.Column]:
+    """The columns of as_row()'s struct, as they were."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def without(columns: list[str], *taken: str) -> list[str]:
     """columns but for those whose names, in any case, are taken."""
     low = {t.lower() for t in taken}

@@ -179,17 +179,34 @@ def frequent(docs: DataFrame, width: int, seed: int, sample: int = 4000, most: i
     return top.to_numpy().view(np.uint64)
 
 
-def parities(hashes: np.ndarray, bits: int = 1024) -> bytes:
-    """A bitmap: bit k is the parity of the hashes that are k modulo bits. Two differ in at most as many bits as their sets in items."""
-    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of u64 words: bit k is the parity of the hashes that are k modulo bits. Two differ in at most as many bits as their sets in items."""
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of parities for a modulus of 64 size, size a power of two: halves laid on each other."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+#: Words of the bitmap that every text has; texts of more shingles than half its bits have a wider one besides.
+NARROW = 16
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Items in which sets of n and m items differ at most if they are as similar."""
+    return (n + m) * (1 - similarity) / (1 + similarity) + 1e-9
 
 
 def profiles(docs: DataFrame, width: int, similarity: float, seed: int, often: np.ndarray, levels: int) -> DataFrame:
-    """node, n (shingles), need (how many of them a text that links must share), prefix and bits (parities).
+    """node, fp (SimHash fingerprint), n (shingles), need (how many of them a text that links must share), prefix, bits and wide (parities, null where bits are wide enough).
 
     prefix: the first n - need + levels shingles, the rare before the often ones, these from the rarest on. Texts that
     link share a shingle of their first n - need + 1, and a k-th of their first n - need + k.
     """
+    names = ["node", "fp", "n", "need", "prefix", "bits", "wide"]
 
     def run(batches):
         import pyarrow as pa
@@ -199,23 +216,26 @@ def profiles(docs: DataFrame, width: int, similarity: float, seed: int, often: n
         known = np.append(often[by_hash], np.uint64(2**64 - 1))
         place = np.append(len(often) - by_hash, 0)
         for batch in common.slices(batches):
-            n, need, firsts, bits = [], [], [], []
+            fps, n, need, firsts, bits, wide = [], [], [], [], [], []
             for t in common.text_bytes(batch.column(1)):
-                own = shingle_set(t, width, seed)
+                each = hashed(shingles((t or b"").lower().split(), width), seed)
+                own = np.unique(each)
                 at = np.searchsorted(known[:-1], own)
                 order = np.argsort(np.where(known[at] == own, place[at], 0), kind="stable")
+                fps.append(majority(each))
                 n.append(len(own))
                 need.append(int(np.ceil(similarity * len(own) - 1e-9)))
                 # Texts without a shingle link with each other: they share the shingle 0.
                 firsts.append(own[order[: n[-1] - need[-1] + levels]].view(np.int64) if n[-1] else np.zeros(1, np.int64))
-                bits.append(parities(own))
+                words = parities(own, max(64 * NARROW, 1 << (2 * n[-1]).bit_length()))
+                bits.append(folded(words, NARROW).tobytes())
+                wide.append(words.tobytes() if len(words) > NARROW else None)
             offsets = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(need, pa.int32()), prefix, pa.array(bits, pa.binary())], names=["node", "n", "need", "prefix", "bits"]
-            )
+            fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, pa.array(n, pa.int32()), pa.array(need, pa.int32()), prefix, pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], names=names)
 
-    return docs.select("node", "text").mapInArrow(run, "node long, n int, need int, prefix array<long>, bits binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, fp long, n int, need int, prefix array<long>, bits binary, wide binary")
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -239,7 +259,7 @@ def may_link(node: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray
         to = begins[i]
         j = np.flatnonzero(np.minimum(n[:to], n[i]) >= similarity * np.maximum(n[:to], n[i]) - 1e-9)
         apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        j = j[apart <= (n[j] + n[i]) * (1 - similarity) / (1 + similarity) + 1e-9]
+        j = j[apart <= most_apart(n[j], n[i], similarity)]
         left.append(np.full(len(j), i))
         right.append(j)
     return np.concatenate(left), np.concatenate(right)
@@ -253,23 +273,64 @@ def possible(pairs: DataFrame, per_text: DataFrame, similarity: float) -> DataFr
 
         for batch in common.slices(batches):
             n, m = (batch.column(c).to_numpy() for c in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (3, 5))
             close = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = close & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    left = per_text.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
-    right = per_text.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+            xs, ys = (batch.column(c).to_pylist() for c in (3, 5))
+            apart = np.zeros(len(n), np.int64)
+            for k in np.flatnonzero(close).tolist():
+                x, y = np.frombuffer(xs[k], np.uint64), np.frombuffer(ys[k], np.uint64)
+                size = min(len(x), len(y))
+                apart[k] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(close & (apart <= most_apart(n, m, similarity))))
+
+    bits = F.coalesce("wide", "bits")
+    left = per_text.select(F.col("node").alias("a"), F.col("n").alias("n"), bits.alias("x"))
+    right = per_text.select(F.col("node").alias("b"), F.col("n").alias("m"), bits.alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
-def pairs_apart(rows: DataFrame, per_text: DataFrame, similarity: float, most: int, levels: int) -> DataFrame:
-    """All pairs (a, b) of nodes of different roots that share a bucket and may link, each bucket whole.
+def shared_only(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node, at) less those alone in their bucket, but for a few at the borders of tasks.
+
+    Ranges of (bucket, node) part even one bucket with all rows; in order, a row has company if a neighbour has its bucket.
+    """
+
+    def run(batches):
+        import pyarrow as pa
 
-    rows: node, bucket, at (place of the bucket's shingle in the prefix), root. A bucket of over most members is
-    split by a further shingle that texts which link must share; what is still large after levels shingles is
-    compared in one piece.
+        last, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            same = bucket[1:] == bucket[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            if last is not None and (first or last[1] or last[0].column(0)[0].as_py() == bucket[0]):
+                yield last[0]
+                first = False
+            keep[0] |= last is None or last[0].column(0)[0].as_py() == bucket[0]
+            # Whether the last row has company shows in the next batch.
+            last = (batch.slice(len(bucket) - 1), bool(keep[-1]))
+            keep[-1] = False
+            yield batch.filter(pa.array(keep))
+        if last is not None:
+            yield last[0]
+
+    return rows.select("bucket", "node", "at").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long, at int")
+
+
+def crossing(rows: DataFrame, name: str) -> DataFrame:
+    """rows (node, bucket, at, root) of buckets in which several roots meet, with members and hub (node and root, the foremost in an order that all buckets share)."""
+    hub = F.max(F.struct(F.xxhash64("node").alias("turn"), "node", "root")).alias("hub")
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo <> hi")
+    return common.written(rows.join(buckets.drop("lo", "hi"), "bucket").select("node", "bucket", "at", "root", "members", "hub"), name)
+
+
+def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most: int, levels: int) -> DataFrame:
+    """All pairs (a, b) of nodes of different roots that share a bucket and may link.
+
+    apart: what crossing() gives. A bucket of over most members is split by a further shingle that texts which link
+    must share; what is still large after levels shingles is cut in parts of about most members, and every part
+    meets every other in a task of its own. Only pairs that sizes and parities let link leave a task.
     """
 
     def run(batches):
@@ -307,13 +368,18 @@ def pairs_apart(rows: DataFrame, per_text: DataFrame, similarity: float, most: i
             yield from compare(pa.Table.from_batches(held))
         common.trim()
 
-    found, own = None, Window.partitionBy("bucket")
+    found = None
     for level in range(1, levels + 1):
-        counted = rows.withColumns({"members": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own)})
-        apart = common.written(counted.where("lo <> hi").drop("lo", "hi"), f"near-apart-{level}")
-        whole = apart if level == levels else apart.where(F.col("members") <= most)
-        whole = whole.join(per_text, "node").select("bucket", "root", "node", "n", "bits").repartition("bucket").sortWithinPartitions("bucket", "root")
-        pairs = whole.mapInArrow(run, "a long, b long")
+        if level == levels:
+            # One part alone meets itself.
+            parts = F.ceil(F.col("members") / most)
+            own = F.pmod(F.xxhash64("node", F.lit(level)), parts)
+            whole = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+            whole = whole.withColumn("bucket", F.when(parts > 1, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("bucket")))
+        else:
+            whole = apart.where(F.col("members") <= most)
+        whole = whole.select("node", "bucket", "root").join(per_text.select("node", "n", "bits"), "node").select("bucket", "root", "node", "n", "bits")
+        pairs = whole.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(run, "a long, b long")
         found = pairs if found is None else found.unionAll(pairs)
         crowded = apart.where(F.col("members") > most)
         if level == levels or crowded.isEmpty():
@@ -321,18 +387,18 @@ def pairs_apart(rows: DataFrame, per_text: DataFrame, similarity: float, most: i
         # Texts that need no further shingle also stay together.
         further = f"filter(transform(prefix, (s, k) -> struct(s, cast(k as int) as k)), e -> e.k > at and e.k < n - need + {level + 1})"
         further = f"concat({further}, if(need <= {level}, array(struct(0L as s, at as k)), array()))"
-        split = crowded.join(per_text.select("node", "n", "need", "prefix"), "node").select("node", "bucket", "root", F.explode(F.expr(further)).alias("e"))
-        rows = split.select("node", F.expr("xxhash64(bucket, e.s)").alias("bucket"), F.col("e.k").alias("at"), "root")
+        split = crowded.select("node", "bucket", "at", "root").join(per_text.select("node", "n", "need", "prefix"), "node").select("node", "bucket", "root", F.explode(F.expr(further)).alias("e"))
+        apart = crossing(split.select("node", F.expr("xxhash64(bucket, e.s)").alias("bucket"), F.col("e.k").alias("at"), "root"), f"near-apart-{level}")
 
 
 def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity; two empty sets are equal."""
+    """Those pairs (a, b) of nodes whose sets of shingles (64-bit hashes stand for them) have at least this Jaccard similarity; two empty sets are equal."""
     threshold = similarity
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 200):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -348,73 +414,77 @@ def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, most: int = 2000, levels: int = 3) -> DataFrame:
-    """(node, root) of those distinct texts that are near duplicates of others; node: xxhash64 of the text.
+def covered_pairs(per_text: DataFrame, radius: int, seed: int) -> DataFrame:
+    """Pairs (node, other) that join all texts whose fingerprints chains of the covering tables' links join."""
+    first = per_text.groupBy("fp").agg(F.min("node").alias("node"))
+    edges = links(first, radius, seed)
+    ends = edges.join(first.select(F.col("fp").alias("a"), "node"), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("other")), "b").select("node", "other")
+    same = per_text.select("node", "fp").join(first.select("fp", F.col("node").alias("other")), "fp").where("node <> other").select("node", "other")
+    return ends.unionAll(same)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 4, most: int = 2000, levels: int = 3) -> DataFrame:
+    """(node, root) of those texts that are near duplicates of others, in groups by chains of links.
 
-    docs: node, text. Texts link at a Jaccard similarity of their sets of width-word shingles of at least
-    similarity, computed exactly; roots are those of all links. Candidates meet in a bucket of a shingle of their
-    prefixes, as all texts that link do. Each text is first compared with the one, of all in its buckets, that meets
-    most others; then, in each bucket where it is still apart from the others, with the bucket's foremost text and its
-    neighbour in that order. That joins most of a group by few pairs; at last all pairs that are still apart and meet in
-    a bucket are compared.
+    docs: node (long, one for each row) and text (null: empty). Texts link at a Jaccard similarity of their sets of
+    width-word shingles of at least similarity, computed exactly; roots are those of all links, none is lost. First
+    SimHash fingerprints of those shingles meet in the covering tables of radius: that joins most copies with
+    few edits. A similarity of 0.8 lies some ten bits apart, beyond any radius that a covering can pay for, so
+    the rest meets in buckets of the shingles of prefixes, as all texts that link do (prefix filter): each text is
+    compared with the foremost text of its buckets and its neighbour there, which joins most of what is left by
+    few pairs; at last with all others of other groups. Texts without words link with each other. Empty: no row.
     """
-    distinct = docs.select("node", "text").dropDuplicates(["node"])
+    distinct = docs.select("node", "text")
     per_text = common.written(profiles(distinct, width, similarity, seed, frequent(distinct, width, seed), levels), "near-profiles")
     rows = per_text.select("node", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "bucket"))
-    counted = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("members > 1")
-    met = common.written(counted, "near-buckets")
-    # A text that shares buckets with many others lies near the middle of its group.
-    weights = common.written(met.groupBy("node").agg(F.sum("members").alias("weight")), "near-weights")
-    ranked = common.written(met.join(weights, "node"), "near-ranked")
-    found, roots = None, None
-    for turn in ("middle", "hubs", "rest"):
-        if roots is None:
-            rows = ranked.withColumn("root", F.col("node"))
+    met = common.written(shared_only(rows), "near-buckets")
+    spent, found, roots = [per_text, met], None, None
+    for turn in ("covered", "hubs", "rest"):
+        if turn == "covered":
+            pairs = covered_pairs(per_text, radius, seed)
         else:
-            rows = common.written(ranked.join(roots, ranked.node == roots.node, "left").select(ranked.node, "bucket", "at", "members", "weight", F.coalesce("root", ranked.node).alias("root")), "near-rooted")
+            rows = met if turn == "hubs" else apart
+            rows = rows.select("node", "bucket", "at").join(roots, "node", "left").select("node", "bucket", "at", F.coalesce("root", "node").alias("root"))
+            apart = crossing(rows, f"near-{turn}")
+            spent.append(apart)
+        if turn == "hubs":
+            chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))).orderBy("node")
+            to_next = apart.select("node", "root", F.lag("node").over(chain).alias("other"), F.lag("root").over(chain).alias("its")).where("root <> its").select("node", "other")
+            pairs = apart.where("root <> hub.root").select("node", F.col("hub.node").alias("other")).unionAll(to_next)
         if turn == "rest":
-            pairs = common.written(pairs_apart(rows.select("node", "bucket", "at", "root"), per_text, similarity, most, levels), "near-pairs")
+            pairs = pairs_apart(apart, per_text, similarity, most, levels)
         else:
-            hubs = common.written(rows.groupBy("bucket").agg(F.max(F.struct("weight", "node", "root")).alias("hub")), "near-hubs")
-            met_hub = rows.join(hubs, "bucket").where("root <> hub.root")
-            if turn == "middle":
-                pairs = met_hub.groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("other"))
-            else:
-                chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))).orderBy("weight", "node")
-                to_next = rows.select("node", "root", F.lag("node").over(chain).alias("other"), F.lag("root").over(chain).alias("its")).where("root <> its").select("node", "other")
-                pairs = met_hub.select("node", F.col("hub.node").alias("other")).unionAll(to_next)
             pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-            pairs = common.written(possible(pairs, per_text, similarity), "near-pairs")
+        pairs = common.written(possible(pairs, per_text, similarity), "near-pairs")
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = docs.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
-        sets = common.written(shingle_sets(some, width, seed), "near-sets")
+        sets = common.written(shingle_sets(docs.select("node", "text").join(named, "node", "left_semi"), width, seed), "near-sets")
         linked = common.written(jaccard_at_least(pairs, sets, similarity), "near-links")
         common.discard(sets)
-        if found is not None and linked.isEmpty():
-            continue
         found = linked if found is None else found.unionAll(linked)
-        roots = common.written(components(found), "near-roots")
-    common.discard(per_text, met, ranked, weights)
+        if roots is None or not linked.isEmpty():
+            roots = common.written(components(found), "near-roots")
+    common.discard(*spent)
     return roots
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, **how) -> DataFrame:
     """docs less all but one of each group of copies and near copies: the row of the smallest doc_id stays.
 
-    Groups are the chains of near_duplicates(); equal texts always belong together, and null is the empty text.
-    Null doc_ids stay only where a group has no other. Of rows equal in doc_id and text one stays. Columns and
-    order of columns are those of docs; empty tables stay empty.
+    Groups are the chains of near_duplicates(); equal texts (by SHA-256) always belong together, and null is the
+    empty text. Null doc_ids stay only where a group has no other. Of rows equal in doc_id and text one stays.
+    Columns and order of columns are those of docs, whatever else they are called; empty tables stay empty.
     """
-    columns = docs.columns
-    node, doc_id = F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("long")
-    narrow = docs.select(doc_id.alias("doc_id"), "text").withColumn("node", node)
-    roots = near_duplicates(narrow, width, similarity, **how)
-    each = narrow.groupBy("node").agg(F.min("doc_id").alias("first"))
-    each = common.written(each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-each")
-    best = F.min(F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("id"), "node"))
-    stays = common.written(each.groupBy("root").agg(best.alias("s")).select(F.col("s.node").alias("_node"), F.col("s.id").alias("_id"), F.col("s.none").alias("_none")), "near-stays")
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    keyed = common.as_row(docs, F.unhex(F.sha2(text, 256)).alias("digest"), doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.alias("words"))
+    each = keyed.groupBy("digest").agg(F.min(F.struct("none", "id")).alias("own"), F.first("words").alias("text"))
+    each = common.written(each.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "text"), "near-texts")
+    roots = near_duplicates(each, width, similarity, **how)
+    rooted = each.select("node", "digest", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("own", "digest")).alias("s")).select(F.col("s.digest").alias("digest"), F.col("s.own.none").alias("none"), F.col("s.own.id").alias("id"))
+    stays = common.written(stays, "near-stays")
+    common.discard(each, roots)
     # The key holds doc_id, so copies of one text part; only rows equal in both meet again, and one of them stays.
-    key = ["_node", "_id", "_none"]
-    marked = docs.withColumns({"_node": node, "_id": F.coalesce(doc_id, F.lit(0)), "_none": doc_id.isNull()})
-    won = marked.join(stays, key, "left_semi")
-    return won.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("_id"))).where("_turn = 1").select(columns)
+    key = ["digest", "none", "id"]
+    won = keyed.drop("words").join(stays, key, "left_semi")
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    return won.withColumn("turn", turn).where("turn = 1").select(*common.row_columns(docs.columns))
