@@ -308,6 +308,8 @@ def test_targets():
 def test_splitting_tree_parts_exactly():
     quotas = np.array([0, 7, 100, 3, 50])
     leaves = [mix.leaf_quotas(quotas, k, 3, 1) for k in range(8)]
+    path = []
+    assert all(np.array_equal(np.array(a), np.array(mix.leaf_quotas(quotas, k, 3, 1, path))) for k, a in enumerate(leaves))
     assert np.array_equal(sum(n for _, n in leaves), quotas)
     sizes = [int(n.sum()) for _, n in leaves]
     assert max(sizes) - min(sizes) <= 1
@@ -317,6 +319,47 @@ def test_splitting_tree_parts_exactly():
         at += n
 
 
+def test_hypergeometric_law():
+    """Draws by inversion follow the exact law where it can be counted, and moments of it at any count."""
+    rng = np.random.default_rng(1)
+    for good, bad, n in [(3, 10**9, 6 * 10**8), (6 * 10**8, 6 * 10**8, 5), (10**9, 2, 10**9 - 3)]:
+        seen = Counter(mix.hypergeometric(rng, good, bad, n) for _ in range(6000))
+        for k, p in law_of(good, bad, n).items():
+            assert abs(seen[k] / 6000 - p) < 0.03
+    good, bad, n = 6 * 10**8, 9 * 10**8, 75 * 10**7
+    draws = np.array([mix.hypergeometric(rng, good, bad, n) for _ in range(400)], dtype=float)
+    mean, var = n * good / (good + bad), n * (good / (good + bad)) * (bad / (good + bad)) * (good + bad - n) / (good + bad - 1)
+    assert abs(draws.mean() - mean) < 5 * np.sqrt(var / 400) and 0.75 < draws.var() / var < 1.3
+    # The tree's split parts exactly, and isn't always half and half.
+    quotas = np.array([6 * 10**8, 6 * 10**8, 3])
+    splits = [mix.split_quotas(quotas, 0, k, 1) for k in range(30)]
+    assert all(s.sum() == -(-quotas.sum() // 2) and (s <= quotas).all() for s in splits)
+    assert len({int(s[0]) for s in splits}) > 20 and len({int(s[2]) for s in splits}) > 1
+
+
+def law_of(good, bad, n):
+    """Exact probabilities by the ratios of big integers, for a short support."""
+    from fractions import Fraction
+
+    lo, hi = max(0, n - bad), min(good, n)
+    weights = [Fraction(1)]
+    for k in range(lo, hi):
+        weights.append(weights[-1] * Fraction((good - k) * (n - k), (k + 1) * (bad - n + k + 1)))
+    total = sum(weights)
+    return {lo + k: float(w / total) for k, w in enumerate(weights)}
+
+
+def test_splits_follow_the_multivariate_law():
+    quotas = np.array([4, 3, 2])
+    seen = Counter(tuple(mix.split_quotas(quotas, 3, k, 5).tolist()) for k in range(20_000))
+    from math import comb
+
+    for a in range(5):
+        for b in range(4):
+            if 0 <= (c := 5 - a - b) <= 2:
+                assert abs(seen[a, b, c] / 20_000 - comb(4, a) * comb(3, b) * comb(2, c) / comb(9, 5)) < 0.015
+
+
 def mix_rows(rng):
     rows = [(k, rand_text(rng, rng.randrange(1, 40)), f"s{k % 5}" if k % 3 else "s0") for k in range(900)]
     return rows + [(5000, None, None), (5001, "a b", None), (5002, "", "s1"), (7, rows[7][1], rows[7][2])]
@@ -339,6 +382,15 @@ def test_mix(spark, none):
     assert all(abs(t - g) <= 20 for _, g, t in sums.values()), dict(sums)
     again = mix.taken_words(frame.repartition(2), **how).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+    # Shards come from the tree: even in words, and each with sources in about the shares of the whole mix.
+    by_shard = Counter()
+    for r in got:
+        assert r["taken"] == r["size"] * len(r["shards"])
+        for s in r["shards"]:
+            by_shard[s] += r["size"]
+    assert len(by_shard) > 8 and max(by_shard.values()) < 4 * 1000
+    other = {(r["doc_id"], r["text"], r["source"]): r["shards"] for r in mix.taken_words(frame, seed=8, **how).collect()}
+    assert any(other[r["doc_id"], r["text"], r["source"]] != r["shards"] for r in got)
     drawn = mix.mixed(frame, **how)
     assert drawn.columns == ["doc_id", "text", "source"]
     words = Counter()

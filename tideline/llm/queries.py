@@ -39,7 +39,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
