@@ -541,6 +541,75 @@ def test_licenses_against_brute_force(spark):
     assert want and got == want
 
 
+def differences(words, template):
+    """Least number of missing and extra words over all stretches, by the plain recurrence."""
+    row = [0] * (len(words) + 1)
+    for i, t in enumerate(template, 1):
+        now = [i]
+        for j, w in enumerate(words, 1):
+            now.append(min(row[j] + 1, now[j - 1] + 1, *([row[j - 1]] if w == t else [])))
+        row = now
+    return min(row)
+
+
+def test_closest_wording_is_minimal():
+    rng = random.Random(13)
+    for _ in range(300):
+        block, template = [rng.randrange(5) for _ in range(rng.randrange(0, 25))], [rng.randrange(5) for _ in range(rng.randrange(1, 12))]
+        missing, extra, first, last = licenses.closest_wording(np.array(block, dtype=np.int64), np.array(template, dtype=np.int64))
+        assert missing + extra == differences(block, template) and len(template) - missing == last - first - extra
+        assert differences(block[first:last], template) == missing + extra
+
+
+def reworded(rng, template):
+    """A template with as many differences as are let pass, and its number of differences."""
+    words, most = licenses.plain_words(template), int(0.1 * len(licenses.plain_words(template)) + 1e-9)
+    changes = most // 2
+    for at in rng.sample(range(1, len(words) - 1), changes):
+        words[at] = f"other{at}"
+    if most % 2:
+        words.insert(len(words) // 2, "added")
+    return " ".join(words)
+
+
+def test_reworded_licenses_are_found(spark):
+    """Every wording within the bound, wherever it lies, without any of the usual words near it, several in one text."""
+    rng = random.Random(14)
+    rows, want = [], Counter()
+    for k in range(120):
+        parts = []
+        for _ in range(rng.randrange(0, 5)):
+            name = rng.choice(sorted(licenses.TEMPLATES))
+            parts += [rand_text(rng, rng.randrange(0, 300)), reworded(rng, licenses.TEMPLATES[name])]
+            want[k, name] += 1
+        rows.append((k, "\n * ".join([*parts, rand_text(rng, rng.randrange(0, 60)), "license " * rng.randrange(0, 40)])))
+    isc = licenses.TEMPLATES["ISC"].replace("to use", "for use")
+    bsd = licenses.TEMPLATES["BSD-2-Clause"].replace("Redistributions", "Copies")
+    rows += [(900, isc), (901, bsd), (902, "\n".join(isc.split()) + " x " + isc)]
+    want += Counter({(900, "ISC"): 1, (901, "BSD-2-Clause"): 1, (902, "ISC"): 2})
+    got = Counter((r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+
+
+def test_licenses_against_alignment_of_whole_texts(spark):
+    """Whole texts aligned with every template: a license is reported if and only if some stretch is near enough and no better ranked template claims it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = defaultdict(set)
+    for r in licenses.scan_licenses(docs).collect():
+        got[r["doc_id"]].add(r["license"])
+    templates = {n: licenses.plain_words(t) for n, t in licenses.TEMPLATES.items()}
+    number = {w: k for k, w in enumerate(sorted({w for t in templates.values() for w in t}))}
+    for r in docs.collect():
+        ids = np.array([number.get(w, -1) for w in licenses.plain_words(r["text"] or "")], dtype=np.int64)
+        near = set()
+        for n, t in templates.items():
+            missing, extra, *_ = licenses.closest_wording(ids, np.array([number[w] for w in t], dtype=np.int64))
+            if missing + extra <= int(0.1 * len(t) + 1e-9):
+                near.add(n)
+        assert got[r["doc_id"]] <= near
+        assert len(near) == len(got[r["doc_id"]]) or near - got[r["doc_id"]] <= {"Apache-2.0-notice"}
+
+
 def brute_top(vectors, asked, k):
     out = []
     for q, v in asked:
