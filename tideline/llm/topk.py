@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 from pyspark.sql import DataFrame, Window
@@ -9,100 +11,152 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Components beyond this size take no part; below it sums of up to 2**8 products fit a long.
-LARGEST = 1 << 27
+#: Vectors and queries with a component beyond this size are scored in whole numbers of any length, without the index.
+WIDE = float(1 << 40)
+#: Shares of a block's postings after which candidates are counted.
+STEPS = (0.3, 0.45, 0.55, 0.65, 0.8, 1.0)
 
 
 def quantised(values: DataFrame, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """vec_id and v, the vector of floor(scale * x); vectors null, empty, or with a null, non-finite or too large component are left out."""
-    v = F.transform(F.col(vector_column), lambda x: F.floor(x.cast("double") * scale))
-    sound = F.col(vector_column).isNotNull() & (F.size(vector_column) > 0) & F.forall(vector_column, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST), F.lit(False)))
-    return values.where(sound).select(F.col(id_column).cast("long").alias("vec_id"), v.cast("array<long>").alias("v")).where("vec_id IS NOT NULL")
+    """vec_id and v, the vector of floor(scale * x), whole numbers of any size as doubles.
+
+    Vectors null, or with a null or non-finite component, are left out; empty vectors and null ids stay. scale is a
+    power of two, so nothing is rounded. A finite component that scale takes beyond the doubles raises an error.
+    """
+    # floor() gives a long: beyond 2**53 a double is a whole number already.
+    whole = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    v = F.transform(F.col(vector_column), lambda x: whole(x.cast("double") * scale))
+    sound = F.col(vector_column).isNotNull() & F.forall(vector_column, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    return values.where(sound).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"))
+
+
+class Found(NamedTuple):
+    """Results: ids, whether an id is null, and exact scores (longs, or whole numbers of any length)."""
+
+    ids: np.ndarray
+    none: np.ndarray
+    scores: np.ndarray
+
+    def best(self, k: int) -> Found:
+        """The k highest scores, ties to the smaller id, null last."""
+        by_id = np.lexsort((self.ids, self.none))
+        order = by_id[np.argsort(-self.scores[by_id], kind="stable")[:k]]
+        return Found(*(x[order] for x in self))
+
+    def plus(self, other: Found) -> Found:
+        return Found(*(np.concatenate(x) for x in zip(self, other, strict=True)))
+
+
+NOTHING = Found(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+
+
+def exact_scores(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers: in doubles or longs where no sum can leave their exact range, else of any length."""
+    bound = float(np.abs(matrix).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query))
+    if bound < 1 << 53:
+        return (matrix @ query).astype(np.int64)
+    if bound < 1 << 62:
+        return matrix.astype(np.int64) @ query.astype(np.int64)
+    q = [int(x) for x in query.tolist()]
+    out = np.empty(len(matrix), dtype=object)
+    out[:] = [sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in matrix.tolist()]
+    return out
 
 
 class Block:
-    """Vectors as posting segments: for each dimension and quantised impact (the bit length of a component's size), the vectors that have it.
+    """Vectors as posting segments: for each dimension the vectors in falling order of impact (a component's size), cut where a layer ends.
 
-    Impacts are powers of two, so segments of one impact level over all dimensions form one sparse layer; layers run
-    from the highest impact down, and the exact components of a layer stand in one matrix.
+    A layer holds the segments of all dimensions between two impacts; layers run from the highest impact down. Beside
+    them stand, for each vector and layer, the norm of what is still to come and the number of its components.
     """
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.matrix = ids[order], matrix[order]
-        size = np.abs(self.matrix)
-        level = np.zeros(size.shape, dtype=np.int64)
-        level[size > 0] = np.floor(np.log2(size[size > 0])).astype(np.int64) + 1
-        # Layers hold a fifth of all impact or more each, cut between impacts, so that each is worth a pass.
-        impact = np.bincount(level.reshape(-1), weights=size.reshape(-1))
-        self.layers, held, low = [], 0.0, None
-        for lv in range(len(impact) - 1, 0, -1):
-            if not impact[lv]:
-                continue
-            low, held = lv, held + impact[lv]
-            if held * 5 >= impact.sum():
-                self.layers.append(low)
-                held = 0
-        if held:
-            self.layers.append(low)
-        self.segments, above = [], np.iinfo(np.int64).max
-        for low in self.layers:
-            inside = (level >= low) & (level < above)
-            # After this layer every posting still to come has a size under 2**(low - 1).
-            self.segments.append((np.where(inside, self.matrix, 0).astype(np.float64), (level < low) & (level > 0), float((1 << low - 1) - 1)))
-            above = low
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query its k best of this block that may reach floor (the k-th best score so far), as (ids, scores), exact.
-
-        Scores accumulate layer by layer. What is still to come for a vector is at most the sum over its open
-        dimensions of |query| times the largest size left. A query stops once its candidates (vectors whose upper bound
-        reaches the k-th best lower bound and floor) are few, which proves that nothing else can enter; or after the last layer.
-        Candidates are rescored exactly in integers.
+    def __init__(self, ids: np.ndarray, none: np.ndarray, matrix: np.ndarray):
+        self.ids, self.none, self.matrix = ids, none, matrix
+        size = np.abs(matrix)
+        self.wild = np.flatnonzero(size.max(axis=1, initial=0) > WIDE)
+        self.tame = np.flatnonzero(size.max(axis=1, initial=0) <= WIDE)
+        size, signed = size[self.tame], matrix[self.tame]
+        impacts = np.sort(size, axis=None)[::-1]
+        total = max(1, int(np.count_nonzero(impacts)))
+        # Impacts at which layers end; equal impacts share a layer.
+        ends = sorted({float(impacts[min(total, int(np.ceil(s * total))) - 1]) for s in STEPS[:-1]} | {1.0}, reverse=True) if impacts.size else []
+        self.layers, above = [], np.inf
+        order = np.argsort(-size, axis=0, kind="stable")
+        self.postings = int(np.count_nonzero(size))
+        for least in [e for e in ends if e >= 1]:
+            lo, hi = np.count_nonzero(size >= above, axis=0), np.count_nonzero(size >= least, axis=0)
+            segments = [(d, at, signed[at, d]) for d in range(size.shape[1]) if lo[d] < hi[d] for at in [order[lo[d] : hi[d], d]]]
+            to_come = np.where(size < least, size, 0.0)
+            self.layers.append((segments, int((hi - lo).sum()), np.sqrt((to_come**2).sum(axis=1)), np.count_nonzero(to_come, axis=1)))
+            above = least
+        self.norm = np.sqrt((size**2).sum(axis=1))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: list) -> tuple[list[Found], int]:
+        """For each query its k best of this block that may reach floor (the k-th best score so far, or None), exact; and the postings touched for all queries.
+
+        Scores gather layer by layer. What is still to come for a vector is at most the norm of its open components
+        times the norm of as many of the query's largest ones. Candidates are the vectors whose upper bound reaches
+        the k-th best lower bound and floor; nothing else can be among the best. A query stops when to rescore its
+        candidates costs less than the next layer's postings, or after the last layer.
         """
-        n, q = len(self.ids), queries.astype(np.float64)
-        known = np.zeros((len(q), n))
-        own = self.ids[None, :] == query_ids[:, None]
-        live, out = np.arange(len(q)), [None] * len(q)
-        few = max(4 * k, 32)
-        # Sums of doubles are exact for components under 2**22; beyond, bounds widen by more than rounding can make.
-        widest = float(np.abs(self.matrix).max(initial=0))
-        loose = np.abs(q).sum(axis=1) * widest * 1e-11 if max(widest, np.abs(q).max(initial=0)) > 1 << 22 else np.zeros(len(q))
-        for depth, (layer, open_, largest) in enumerate(self.segments or [(np.zeros((n, q.shape[1])), np.zeros((n, q.shape[1]), bool), 0.0)]):
-            known[live] += q[live] @ layer.T
-            slack = np.abs(q[live]) @ (open_.T * largest) if largest else np.zeros((len(live), n))
-            slack = slack + loose[live, None]
-            low, high = known[live] - slack, known[live] + slack
-            low[own[live]] = high[own[live]] = -np.inf
-            kth = np.partition(low, max(0, n - k), axis=1)[:, max(0, n - k)] if n >= k else np.full(len(live), -np.inf)
-            possible = (high >= np.maximum(kth, floor[live])[:, None]) & (high > -np.inf)
-            done = possible.sum(axis=1) <= few
-            if depth >= len(self.segments) - 1:
-                done[:] = True
-            for row in np.flatnonzero(done).tolist():
-                at = np.flatnonzero(possible[row])
-                scores = self.matrix[at] @ queries[live[row]]
-                best = np.lexsort((self.ids[at], -scores))[:k]
-                out[live[row]] = (self.ids[at][best], scores[best])
-            live = live[~done]
+        out: list[Found | None] = [None] * len(queries)
+        wide = np.abs(queries).max(axis=1, initial=0) > WIDE
+        live, touched, n, width = np.flatnonzero(~wide), 0, len(self.tame), queries.shape[1]
+        q = queries[live].T
+        known = np.zeros((n, len(live)))
+        norms = np.sqrt((q**2).sum(axis=0))
+        heads = np.sqrt(np.concatenate([np.zeros((1, len(live))), np.cumsum(-np.sort(-(q**2), axis=0), axis=0)]))
+        least = np.array([-np.inf if floor[k_] is None else float(floor[k_]) for k_ in live])
+        own = (self.ids[self.tame][:, None] == query_ids[live][None, :]) & ~self.none[self.tame][:, None]
+        rounding = (width + 8) * 2.3e-16
+
+        def finish(row: int, at: np.ndarray) -> None:
+            at = np.concatenate([self.tame[at], self.wild])
+            at = at[(self.ids[at] != query_ids[row]) | self.none[at]]
+            out[row] = Found(self.ids[at], self.none[at], exact_scores(self.matrix[at], queries[row])).best(k)
+
+        for depth, (segments, postings, norm_left, open_) in enumerate(self.layers):
             if not len(live):
                 break
-        return out
+            for d, at, values in segments:
+                known[at] += values[:, None] * q[d]
+            touched += postings * len(live)
+            slack = norm_left[:, None] * heads[open_] + rounding * (self.norm[:, None] * norms + np.abs(known) + 1)
+            low, high = known - slack, known + slack
+            low[own] = high[own] = -np.inf
+            kth = np.partition(low, n - k, axis=0)[n - k] if n >= k else np.full(len(live), -np.inf)
+            possible = (high >= np.maximum(kth, least)) & ~own
+            next_ = self.layers[depth + 1][1] / max(1, width) if depth + 1 < len(self.layers) else np.inf
+            done = possible.sum(axis=0) <= next_
+            for col in np.flatnonzero(done).tolist():
+                at = np.flatnonzero(possible[:, col])
+                touched += len(at) * width
+                finish(live[col], at)
+            live, q, known, norms, heads, least, own = live[~done], q[:, ~done], known[:, ~done], norms[~done], heads[:, ~done], least[~done], own[:, ~done]
+        for row in [*live.tolist(), *np.flatnonzero(wide).tolist()]:  # no postings at all, or too wide for the index
+            finish(row, np.arange(n))
+        return out, touched
 
 
 def blocks_of(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """Vectors packed into rows of at most rows vectors of one width: block (number), width, ids and values as bytes."""
+    """Vectors (vec_id, v) packed where they lie into rows of at most rows vectors of one width: block (number), width, n, ids, none and values as bytes. Null ids are marked in none. Empty: no row."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         n, task = 0, TaskContext.get().partitionId() << 32
+        names = ["block", "width", "n", "ids", "none", "values"]
 
         def out(width, ids, vectors):
             nonlocal n
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([task + n]), pa.array([width]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.array(vectors, "<i8").tobytes()])], names=["block", "width", "ids", "values"])
+            none = np.array([i is None for i in ids])
+            numbers = np.array([0 if i is None else i for i in ids], "<i8")
+            values = np.array(vectors, "<f8")
+            if not np.isfinite(values).all():
+                raise OverflowError("a quantised component is beyond the range of doubles")
+            return pa.RecordBatch.from_arrays([pa.array([task + n]), pa.array([width]), pa.array([len(ids)]), *(pa.array([x.tobytes()]) for x in (numbers, none, values))], names=names)
 
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
@@ -115,55 +169,72 @@ def blocks_of(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         for width, (ids, vs) in held.items():
             yield out(width, ids, vs)
 
-    return common.written(vectors.mapInArrow(run, "block long, width long, ids binary, values binary"), name)
+    return common.written(vectors.select("vec_id", F.col("v").cast("array<double>")).mapInArrow(run, "block long, width long, n long, ids binary, none binary, values binary"), name)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 2048, query_rows: int = 1024) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k highest inner products with vectors other than itself, ties to the smaller vec_id.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 1024, group_bytes: int = 16 << 20) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k highest inner products with vectors other than itself, ties to the smaller vec_id, null last.
 
-    vectors, queries: vec_id, v (longs). Both are packed in blocks; every block of vectors meets every block of
-    queries of its width once, by a join on the number of the query block. A task holds one block of each, carries
-    each query's k-th best score from block to block as a floor, and gives at most k rows for each query; the final rank
-    cuts to k in each task before the shuffle. Fewer than k others: all of them. Repeated vec_ids are several
-    vectors, ranked by score; rows with the query's own id are never its results. Only equal widths meet. No query, no row.
+    vectors, queries: vec_id, v (whole numbers). Query blocks form groups of at most about group_bytes. A task holds one
+    group and lets its share of the vector blocks pass by: a block moves and is indexed once for each group, not
+    for each query. Each query's k-th best score is the floor for the blocks after, and a task gives at most k rows
+    for a query, which the final rank cuts in each task before the shuffle. Fewer than k others: all of them.
+    Repeated vec_ids are several vectors; rows with the query's own id are never its results. Only equal widths
+    meet. Queries need an id, and those that share one share a list. No query, no row. Other columns are ignored. A score among the best that doesn't fit a
+    long raises OverflowError; any other is exact.
     """
     spark = vectors.sparkSession
     corpus = blocks_of(vectors, block_rows, "topk-vectors")
-    asked = blocks_of(queries.repartition(max(1, -(-queries.count() // (8 * query_rows)))), query_rows, "topk-queries")
-    # Numbers of query blocks by width: one for each thousand queries or so.
-    numbers = asked.select(F.col("block").alias("asked"), "width")
-    meets = corpus.select("block", "width").join(numbers, "width").select("block", "asked")
-    pairs = meets.join(corpus, "block").select("asked", "ids", "values", "width")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    right = asked.select(F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("values").alias("query_values"))
+    asked = blocks_of(queries.where("vec_id IS NOT NULL"), query_rows, "topk-queries")
+    # Groups of queries of one width, numbered through; a row here stands for a thousand queries.
+    size = F.octet_length("values") + F.octet_length("ids") + 1
+    run_ = F.sum(size).over(Window.partitionBy("width").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    grouped = asked.select("block", "width", F.floor((run_ - 1) / group_bytes).alias("part"))
+    groups = grouped.select("width", "part").distinct().select("width", "part", (F.row_number().over(Window.orderBy("width", "part")) - 1).alias("qg"))
+    grouped = common.written(grouped.join(groups, ["width", "part"]).select("block", "width", "qg"), "topk-groups")
+    groups = grouped.select("width", "qg").distinct()
+    n_groups, parts = groups.count(), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lots = max(1, -(-parts // max(1, n_groups)))
+    lot = F.sequence(F.lit(0), F.lit(lots - 1))
+    body = ["block", "n", "ids", "none", "values"]
+    left = asked.join(grouped.select("block", "qg"), "block").select(F.lit(0).alias("kind"), "qg", F.explode(lot).alias("lot"), "width", *body)
+    right = corpus.join(F.broadcast(groups) if n_groups <= 100_000 else groups, "width").select(F.lit(1).alias("kind"), "qg", F.pmod(F.xxhash64("block"), F.lit(lots)).cast("int").alias("lot"), "width", *body)
 
     def run(batches):
         import pyarrow as pa
 
-        best: dict[int, tuple] = {}
+        now, held = None, []
+
+        def out():
+            for ids, _, have in held:
+                best = [f for f in have if len(f.ids)]
+                scores = [s for f in best for s in f.scores.tolist()]
+                if any(not -(1 << 63) <= s < 1 << 63 for s in scores):
+                    raise OverflowError(f"a score doesn't fit a long; queries from {ids[0]} on")
+                found = [None if no else i for f in best for i, no in zip(f.ids.tolist(), f.none.tolist(), strict=True)]
+                of = np.repeat(ids, [len(f.ids) for f in have])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for asked_, ids, values, width, query_ids, query_values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = Block(np.frombuffer(ids, "<i8"), np.frombuffer(values, "<i8").reshape(-1, width))
-                if asked_ not in best:
-                    q_ids = np.frombuffer(query_ids, "<i8")
-                    best[asked_] = (q_ids, np.frombuffer(query_values, "<i8").reshape(-1, width), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids))
-                q_ids, q, have = best[asked_]
-                for lo in range(0, len(q_ids), 128):
-                    part = slice(lo, lo + 128)
-                    floor = np.array([s[-1] if len(s) >= k else -np.inf for _, s in have[part]])
-                    for row, (found, scores) in enumerate(block.search(q_ids[part], q[part], k, floor), lo):
-                        all_ids, all_scores = np.concatenate([have[row][0], found]), np.concatenate([have[row][1], scores])
-                        order = np.lexsort((all_ids, -all_scores))[:k]
-                        have[row] = (all_ids[order], all_scores[order])
-        for q_ids, _, have in best.values():
-            ids = np.repeat(q_ids, [len(i) for i, _ in have])
-            found = np.concatenate([i for i, _ in have]) if have else np.zeros(0, np.int64)
-            scores = np.concatenate([s for _, s in have]) if have else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    weight = right.agg(F.sum(F.octet_length("query_ids") + F.octet_length("query_values"))).first()[0] or 0
-    # Query blocks go to all tasks while they are under 64 MB; beyond, pairs are dealt by query block.
-    joined = pairs.repartition(parts, "asked", F.xxhash64("ids")).join(F.broadcast(right) if weight < 64 << 20 else right, "asked")
-    found = joined.select("asked", "ids", "values", "width", "query_ids", "query_values").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for kind, qg, lot_, width, _, n, ids, none, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (qg, lot_) != now:
+                    yield from out()
+                    now, held = (qg, lot_), []
+                ids, none, matrix = np.frombuffer(ids, "<i8"), np.frombuffer(none, bool), np.frombuffer(values, "<f8").reshape(n, width)
+                if not kind:
+                    held.append((ids, matrix, [NOTHING] * n))
+                    continue
+                block = Block(ids, none, matrix)
+                for q_ids, q, have in held:
+                    for lo in range(0, len(q_ids), 128):
+                        part = slice(lo, lo + 128)
+                        floor = [f.scores[-1] if len(f.ids) >= k else None for f in have[part]]
+                        found, _ = block.search(q_ids[part], q[part], k, floor)
+                        have[part] = [a.plus(b).best(k) for a, b in zip(have[part], found, strict=True)]
+        yield from out()
+
+    both = left.unionAll(right).withColumn("task", (F.col("qg") * lots + F.col("lot")).cast("int"))
+    met = both.repartitionById(max(1, n_groups * lots), "task").sortWithinPartitions("qg", "lot", "kind", "block").drop("task")
+    found = met.select("kind", "qg", "lot", "width", *body).mapInArrow(run, "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
