@@ -618,29 +618,57 @@ def brute_top(vectors, asked, k):
     return out
 
 
-@pytest.mark.parametrize("big", [100, 1 << 24])
+@pytest.mark.parametrize("big", [100, 1 << 24, 1 << 30])
 def test_top_k(spark, big):
     rng = random.Random(10)
-    vectors = [(k, [rng.randrange(-big, big) for _ in range(16)]) for k in range(400)] + [(1000 + k, [3] * 16) for k in range(60)] + [(2000, [0] * 16), (2001, [1, 2]), (2002, [3, 4])]
-    frame = spark.createDataFrame(vectors, "vec_id long, v array<long>").repartition(3)
+    vectors = [(k, [rng.randrange(-big, big) for _ in range(16)]) for k in range(400)] + [(1000 + k, [3] * 16) for k in range(60)] + [(2000, [0] * 16), (2001, [1, 2]), (2002, [3, 4]), (2003, []), (2004, []), (450, [])]
+    vectors += [(7, [rng.randrange(-big, big) for _ in range(16)]), vectors[5]]
+    frame = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, v array<long>, score int").repartition(3)
     asked = [x for x in vectors if x[0] % 50 == 0] + [(2001, [1, 2])]
-    got = topk.top_k(frame, frame.where("vec_id % 50 = 0 OR vec_id = 2001"), 5, block_rows=64, query_rows=4)
-    assert sorted(map(tuple, got.collect())) == sorted(brute_top(vectors, asked, 5))
-    assert topk.top_k(frame, frame.limit(0), 5).count() == 0
+    for group_bytes in (16 << 20, 2000):
+        got = topk.top_k(frame, frame.where("vec_id % 50 = 0 OR vec_id = 2001"), 5, block_rows=64, query_rows=4, group_bytes=group_bytes)
+        assert sorted(map(tuple, got.collect())) == sorted(brute_top(vectors, asked, 5))
+    assert topk.top_k(frame, frame.limit(0), 5).count() == 0 and topk.top_k(frame.limit(0), frame, 5).count() == 0
+
+
+def test_top_k_of_very_large_components(spark):
+    """Scores that fit a long are exact whatever the components; others raise."""
+    big = float(2**90)
+    rows = [(50, [0.0, 2.0, 1.0]), (1, [big, 1.0, 0.0]), (2, [-big, 5.0, 0.0]), (3, [1.0, 1.0, 9e15]), (4, [0.0, 1.0, 9e15 + 2]), (None, [0.0, 1.0, 9e15 + 2]), (100, [1.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = topk.top_k(frame, frame.where("vec_id = 50"), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(4, 9 * 10**15 + 4), (None, 9 * 10**15 + 4), (3, 9 * 10**15 + 2), (2, 10), (1, 2)]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_k(frame, frame.where("vec_id = 100"), 5).collect()
 
 
 def test_quantised_leaves_out_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [0.5, -0.001]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (None, [1.0, 1.0]), (7, [1e30, 0.0])]
+    rows = [(1, [0.5, -0.001]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (None, [1.0, 1.0]), (7, [2.0**100, 0.0])]
     got = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert [(r["vec_id"], list(r["v"])) for r in got] == [(1, [128, -1])]
+    assert [(r["vec_id"], list(r["v"])) for r in got] == [(1, [128, -1]), (6, []), (None, [256, 256]), (7, [2.0**108, 0])]
 
 
-def test_most_candidates_are_ruled_out_before_the_last_layer():
+def test_queries_stop_before_all_postings_are_read():
+    """On vectors like the driver's (unit length, 64 dimensions) a block's queries read well under all postings, and lose nothing."""
     rng = np.random.default_rng(11)
-    matrix = np.where(rng.random((2000, 64)) < 0.05, rng.integers(-500, 500, (2000, 64)), rng.integers(-3, 4, (2000, 64)))
-    block = topk.Block(np.arange(2000), matrix)
-    assert len(block.segments) > 2
+    matrix = rng.normal(size=(12_000, 64))
+    matrix = np.floor(256 * matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
+    ids, none = np.arange(12_000), np.zeros(4000, bool)
+    asked, have, touched, held = np.arange(0, 12_000, 100), [topk.NOTHING] * 120, 0, 0
+    for lo in range(0, 12_000, 4000):
+        block = topk.Block(ids[lo : lo + 4000], none, matrix[lo : lo + 4000])
+        assert len(block.layers) >= 5
+        found, read = block.search(asked, matrix[asked], 5, [f.scores[-1] if len(f.ids) else None for f in have])
+        have = [a.plus(b).best(5) for a, b in zip(have, found, strict=True)]
+        touched, held = touched + read, held + block.postings * len(asked)
+    scores = (matrix[asked] @ matrix.T).astype(np.int64)
+    scores[np.arange(120), asked] = -(10**9)
+    for row, f in enumerate(have):
+        order = np.lexsort((ids, -scores[row]))[:5]
+        assert f.ids.tolist() == order.tolist() and f.scores.tolist() == scores[row][order].tolist()
+    print("share of postings read", touched / held)
+    assert touched < 0.75 * held
 
 
 def test_pipeline(spark):

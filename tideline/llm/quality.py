@@ -48,30 +48,28 @@ def text_stats(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def with_stats(docs: DataFrame, keep: list[str] | None = None, text_column: str = "text") -> DataFrame:
-    """The columns keep of docs (all by default) with a struct column _stats of each whole text; null counts as empty."""
+    """row (a struct of the columns keep of docs, all by default) and stats (a struct) of each whole text; null counts as empty."""
     keep = docs.columns if keep is None else keep
-    at = keep.index(text_column) if text_column in keep else len(keep)
-    n = len(keep)
+    inside = text_column in keep
 
     def run(batches):
         import pyarrow as pa
 
         common.forget()
         for batch in common.slices(batches):
-            stats = [text_stats(t or b"") for t in common.text_bytes(batch.column(at))]
+            row = batch.column(0)
+            stats = [text_stats(t or b"") for t in common.text_bytes(row.field(text_column) if inside else batch.column(1))]
             columns = [pa.array([s[k] for s in stats], pa.int64()) for k in range(5)]
-            struct = pa.StructArray.from_arrays(columns, [f.split()[0] for f in STATS.split(", ")])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], struct], names=[*batch.schema.names[:n], "_stats"])
+            yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(columns, [f.split()[0] for f in STATS.split(", ")])], names=["row", "stats"])
 
-    kept = docs.select(*keep)
+    rows = common.as_row(docs.select(*[F.col(f"`{c}`") for c in keep])) if inside else docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_column).alias("text"))
     inner = T.StructType([T.StructField(f.split()[0], T.LongType()) for f in STATS.split(", ")])
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in kept.schema.fields), T.StructField("_stats", inner)])
-    return docs.select(*keep, *([] if at < n else [F.col(text_column)])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("stats", inner)]))
 
 
 def document_rules(least_words: int = 50, most_repeated: int = 50) -> dict[str, F.Column]:
-    """Rules on _stats; true where a document fails. The first two are the base: a document that fails one goes."""
-    s = {name: F.col(f"_stats.{name}") for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    """Rules on stats; true where a document fails. The first two are the base: a document that fails one goes."""
+    s = {name: F.col(f"stats.{name}") for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     return {
         "few_words": s["n_words"] < least_words,
         "repeats": 100 * s["n_repeat_words"] > most_repeated * s["n_words"],
@@ -106,7 +104,7 @@ def host_verdicts(judged: DataFrame, host: str, rules: list[str], max_rate: floa
         between = (squares - free * m * (1 - m)) / (spread - free) if spread - free > 0 else 0.0
         k = max_strength if between <= 0 else min(max_strength, max(1.0, m * (1 - m) / between - 1))
         bad = bad | ((F.col(r) + m * k) / (F.col("n") + k) > max_rate)
-    return hosts.select(F.col(host).alias("_host"), F.col("n").alias("host_docs"), bad.alias("host_bad"))
+    return hosts.select(F.col(host).alias("host"), F.col("n").alias("host_docs"), bad.alias("host_bad"))
 
 
 def judge(docs: DataFrame, host_column: str = "source", text_column: str = "text", max_rate: float = 0.6) -> DataFrame:
@@ -115,23 +113,23 @@ def judge(docs: DataFrame, host_column: str = "source", text_column: str = "text
     kept is false if a base rule fails, else the verdict on the host: false if the shrunken failure rate of any
     rule there is over max_rate. Null hosts count as one host. Null or empty texts have no words and fail.
     Repeated rows count as often as they occur. Empty tables stay empty. Columns of docs named _stats,
-    base_failed or kept (in any case) are replaced; others pass through.
+    base_failed or kept (in any case) are replaced; others pass through, whatever they are called. Texts are read
+    once: rows and their counts are written, hosts are judged from the counts.
     """
-    docs = docs.select(*common.without(docs.columns, "_stats", "_text", "_host", "base_failed", "kept", "host_docs", "host_bad"))
-    rules = document_rules()
-    stats = with_stats(docs.withColumn("_host", F.col(host_column)), ["_host"], text_column)
-    judged = stats.select("_host", *(c.alias(r) for r, c in rules.items()))
-    hosts = host_verdicts(judged, "_host", list(rules), max_rate)
-    return apply_verdicts(with_stats(docs, None, text_column), hosts, host_column)
+    columns = common.without(docs.columns, "_stats", "base_failed", "kept")
+    stats = common.written(with_stats(docs, columns, text_column), "quality-stats")
+    judged = judged_rows(stats, host_column, max_rate)
+    return judged.select(*common.row_columns(columns), F.col("stats").alias("_stats"), "base_failed", "kept")
 
 
-def apply_verdicts(stats: DataFrame, hosts: DataFrame, host_column: str = "source") -> DataFrame:
-    """stats (with _stats) with base_failed and kept, given the hosts' verdicts.
+def judged_rows(stats: DataFrame, host_column: str, max_rate: float) -> DataFrame:
+    """with_stats()'s rows (written) with base_failed and kept.
 
     Only hosts with a bad verdict are joined: they are few next to all hosts, and no document of another host moves far.
     """
-    rules = document_rules()
+    rules, host = document_rules(), F.col("row").getField(host_column)
+    hosts = host_verdicts(stats.select(host.alias("host"), *(c.alias(r) for r, c in rules.items())), "host", list(rules), max_rate)
+    bad = hosts.where("host_bad").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
     base = rules["few_words"] | rules["repeats"]
-    bad = hosts.where("host_bad").select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_bad"))
-    joined = stats.join(bad, F.col(host_column).eqNullSafe(F.col("_bad_host")), "left")
-    return joined.withColumn("base_failed", base).withColumn("kept", ~base & F.col("_bad").isNull()).drop("_bad", "_bad_host")
+    joined = stats.join(bad, host.eqNullSafe(F.col("bad_host")), "left")
+    return joined.select("row", "stats", base.alias("base_failed"), (~base & F.col("bad").isNull()).alias("kept"))

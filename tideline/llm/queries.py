@@ -63,12 +63,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     stats = common.written(quality.with_stats(docs, ["doc_id", "source"]), "quality-stats")
-    rules = quality.document_rules()
-    hosts = quality.host_verdicts(stats.select("source", *(c.alias(r) for r, c in rules.items())), "source", list(rules), MAX_RATE)
-    return quality.apply_verdicts(stats, hosts).select("doc_id", "_stats.*", "base_failed", "kept")
+    return quality.judged_rows(stats, "source", MAX_RATE).select("row.doc_id", "stats.*", "base_failed", "kept")
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # labels has no page_id; ids of documents stand for the pages of the same number, so some pages have outcomes.
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -89,10 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]::HUGEINT * p[2]::HUGEINT)), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id IS DISTINCT FROM c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
@@ -115,8 +114,8 @@ OP6_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ), f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
@@ -171,6 +170,7 @@ def op10_sql() -> str:
     fits = lambda text: f"(host = '{text.partition('/')[0]}' OR ends_with(host, '.{text.partition('/')[0]}')) AND starts_with(path, '/{text.partition('/')[2]}')"
     rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in cases) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in cases) + " END"
+    deep = rf"regexp_matches(host, '\.({'|'.join(urls.SECOND_LEVEL)})\.[a-z][a-z]$')"
     return f"""
 WITH r AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -178,7 +178,8 @@ WITH r AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
 ), l AS (SELECT doc_id, quality = 0 OR toxic = 1 AS bad FROM labels),
 hosts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad::INT), 0)::BIGINT AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+  SELECT host, count(bad) AS n, coalesce(sum(bad::INT), 0)::BIGINT AS bad, array_to_string(string_split(host, '.')[(CASE WHEN {deep} THEN -3 ELSE -2 END):], '.') AS domain,
+    array_to_string(string_split(host, '.')[(CASE WHEN {deep} THEN -2 ELSE -1 END):], '.') AS suffix
   FROM u LEFT JOIN l ON l.doc_id = u.page_id GROUP BY host
 ), domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),

@@ -49,16 +49,18 @@ def directory(sized: DataFrame, limit: int, step: int = 6) -> DataFrame:
         base = deep
 
 
-def assign_shards(docs: DataFrame, limit: int, key_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, limit: int, key_column: str = "doc_id", text_column: str = "text", lot_shards: int = 64) -> DataFrame:
     """docs with n_bytes (of the text in UTF-8, 0 for null), shard (the bits of its prefix; "" for the whole hash space) and shard_bytes.
 
-    Every shard holds at most limit bytes. Rows that share one hash can't be parted by bits: if they are over
-    limit together they go on overflow pages, in order of their size and content, "<bits>+<page>", each within limit unless one
-    text alone is over. Null keys hash like the empty text; repeated rows count as often as they occur.
-    Empty tables stay empty. Columns of docs with those names are replaced.
+    Every shard holds at most limit bytes. Rows that share one hash can't be parted by bits: if they are over limit
+    together they are dealt into lots of about lot_shards shards by their place in the input, and each lot fills
+    overflow pages in order of size, "<bits>+<lot>.<page>", each within limit unless one text alone is over. So no
+    task holds more than a lot, even if all keys are null or equal. Null keys hash like the empty text; repeated rows
+    count as often as they occur. Empty tables stay empty. Columns of docs with those names are replaced; others
+    pass through, whatever they are called.
     """
-    columns = common.without(docs.columns, "n_bytes", "shard", "shard_bytes", "_hash")
-    sized = docs.select(*columns, F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(key_column)).alias("_hash"))
+    columns = common.without(docs.columns, "n_bytes", "shard", "shard_bytes")
+    sized = common.as_row(docs, F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(key_column)).alias("_hash"), F.monotonically_increasing_id().alias("place"))
     leaves = directory(sized.select("_hash", F.col("n_bytes").alias("_bytes")), limit)
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
     named = leaves.select("depth", "prefix", bits.alias("shard"), F.col("bytes").alias("shard_bytes"), "whole")
@@ -68,18 +70,22 @@ def assign_shards(docs: DataFrame, limit: int, key_column: str = "doc_id", text_
     hashes = sized.select("_hash").distinct().select("_hash", F.explode(F.expr(f"array({tried})")).alias("p")).select("_hash", "p.depth", "p.prefix")
     placed = common.written(hashes.join(named, ["depth", "prefix"]).select("_hash", "shard", "shard_bytes", "whole"), "shard-of-hash")
     out = sized.join(placed, "_hash")
+    names = [*common.row_columns(columns), "n_bytes", "shard", "shard_bytes"]
     if placed.where("NOT whole").isEmpty():
-        return out.select(*columns, "n_bytes", "shard", "shard_bytes")
-    before = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("_hash").orderBy("n_bytes", F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return out.select(names)
+    half = max(1, limit // 2)
+    lots = F.ceil(F.col("shard_bytes") / (lot_shards * max(1, limit)))
+    dealt = out.where("NOT whole").withColumn("lot", F.pmod(F.xxhash64("place"), F.greatest(lots, F.lit(1))))
+    own = Window.partitionBy("_hash", "lot").orderBy("n_bytes", "place")
+    before = F.coalesce(F.sum("n_bytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Half-full at worst: a page ends where the next text would begin beyond half the limit.
-    pages = out.where("NOT whole").withColumn("_page", F.floor(before / max(1, limit // 2))).withColumn("_page", F.when(F.col("n_bytes") > limit // 2, F.concat(F.col("_page"), F.lit("."), F.row_number().over(Window.partitionBy("_hash").orderBy("n_bytes", F.xxhash64(*columns))))).otherwise(F.col("_page").cast("string")))
-    pages = pages.withColumn("shard", F.concat("shard", F.lit("+"), "_page"))
+    page = F.when(F.col("n_bytes") > half, F.concat(F.lit("t"), F.row_number().over(own))).otherwise(F.floor(before / half).cast("string"))
+    pages = dealt.withColumn("page", page).withColumn("shard", F.concat("shard", F.lit("+"), "lot", F.lit("."), "page"))
     pages = pages.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard")))
-    names = [*columns, "n_bytes", "shard", "shard_bytes"]
     return out.where("whole").select(names).unionAll(pages.select(names))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key_column: str = "doc_id", text_column: str = "text") -> None:
-    """Write docs under path, one folder shard=<bits> for each shard."""
+    """Write docs under path, one folder shard=b<bits> for each shard. Nulls, ties, repeats and clashing names as in assign_shards(); an empty table writes no shard."""
     assigned = assign_shards(docs, limit, key_column, text_column).withColumn("shard", F.concat(F.lit("b"), "shard"))
     assigned.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -28,9 +28,15 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+#: Labels under which two-letter countries register names: there a suffix has two labels (co.uk), else one.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "or", "org")
+
+
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """Registered domain (one label more than the suffix) and suffix (the last label, or two by SECOND_LEVEL)."""
+    deep = host.rlike(rf"\.({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$")
+    last = lambda n: F.substring_index(host, ".", -n)
+    return F.when(deep, last(3)).otherwise(last(2)), F.when(deep, last(2)).otherwise(last(1))
 
 
 def strength(units: DataFrame, mean: float, most: float) -> float:
@@ -77,13 +83,13 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
 
     Null urls, and those without ://, have empty host and path, fit no rule, and share the reputation of the
     empty host. Null page_ids have no outcome. Repeated rows are kept and counted. Empty tables stay empty.
-    Columns of pages with those names are replaced. Only blocked hosts are joined back.
+    Columns of pages with those names are replaced; others pass through, whatever they are called. Only blocked hosts are joined back.
     """
     columns = common.without(pages.columns, "host", "path", "rule", "verdict")
     host, path = split_url(F.col("url"))
-    parsed = pages.select(*columns, host.alias("host"), path.alias("path"))
+    parsed = common.as_row(pages, F.col("page_id"), host.alias("host"), path.alias("path"))
     reputation = host_reputation(parsed, outcomes, max_bad, z)
-    blocked = common.written(reputation.where("blocked").select("host", F.lit("block").alias("_block")), "hosts-blocked")
+    blocked = common.written(reputation.where("blocked").select("host", F.lit("block").alias("blocked")), "hosts-blocked")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    judged = parsed.withColumns({"rule": rule, "_verdict": verdict}).join(blocked, "host", "left")
-    return judged.select(*columns, "host", "path", "rule", F.coalesce("_verdict", "_block", F.lit("allow")).alias("verdict"))
+    judged = parsed.withColumns({"rule": rule, "by_rule": verdict}).join(blocked, "host", "left")
+    return judged.select(*common.row_columns(columns), "host", "path", "rule", F.coalesce("by_rule", "blocked", F.lit("allow")).alias("verdict"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, as RFC 4122 gives it
 
 
-def record_id(page_id, digest: str) -> str:
-    """A record's id: a name-based UUID, so that a task that runs again writes the same."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{digest}')}>"
+def record_id(date: str, page_id, digest: str) -> str:
+    """A record's id: a UUID named by the run's date and the record, so that a task that runs again writes the same."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{date}:page:{page_id}:{digest}')}>"
 
 
 def clean(value: str) -> str:
@@ -25,17 +26,17 @@ def clean(value: str) -> str:
     return " ".join(value.splitlines()) if value else ""
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, refers_uri: str | None, date: str) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or (refers_to given) a revisit with the HTTP head only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id, url: str | None, payload: bytes | None, size: int, digest: str, refers_to, refers_uri: str | None, date: str) -> bytes:
+    """One WARC/1.1 record: a response with its payload of size bytes, or (refers_to given) a revisit with the HTTP head only."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(date, page_id, digest)}", f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {clean(url)}"] if url else []), *([f"X-Page-ID: {page_id}"] if page_id is not None else []), f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(date, refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
         head += [f"WARC-Refers-To-Target-URI: {clean(refers_uri)}"] if refers_uri else []
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -90,14 +91,15 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     return met.select("page_id", "digest", "refers_to", "refers_uri").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str | None = None, file_bytes: int = 256 << 20) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) to gzip archives under path; returns the manifest: path, n_records.
 
     Payload: html in UTF-8, null as empty. Rows equal in page_id and payload, if it is the original, are all
-    responses. Record ids and dates are fresh. Pages go to archives by page_id, and lie there in its order; an
+    responses. Record ids and dates are fresh: date is the time of the call by default. Pages go to archives by page_id, and lie there in its order; an
     archive closes at file_bytes of records. Null ids and urls: the header is left out. Empty table: no archive.
     Other columns are ignored.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("_payload"))
     revisits = common.written(resolve_revisits(rows, least_bytes), "warc-revisits")
@@ -117,9 +119,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: st
                 parts, size = [], 0
 
         for batch in batches:
-            for page_id, url, body, digest, refers_to, refers_uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digest = digest or hashlib.sha256(body).hexdigest()
-                parts.append(gzipped(record(page_id, url, body, digest, refers_to, refers_uri, date)))
+            for page_id, url, body, bytes_, digest, refers_to, refers_uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.append(gzipped(record(page_id, url, body, bytes_, digest, refers_to, refers_uri, date)))
                 size += len(parts[-1])
                 if size >= file_bytes:
                     flush()
@@ -129,13 +130,18 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: st
     keyed = rows.withColumns({"_id": F.coalesce("page_id", F.lit(0)), "_null": F.col("page_id").isNull(), "_digest": F.sha2("_payload", 256)})
     told = revisits.select(F.coalesce("page_id", F.lit(0)).alias("_id"), F.col("page_id").isNull().alias("_null"), F.col("digest").alias("_digest"), "refers_to", "refers_uri")
     # Placed by id and digest, so that neither copies of a payload nor rows without an id crowd one task.
-    joined = keyed.join(told, ["_id", "_null", "_digest"], "left")
+    # A revisit's payload goes no further.
+    joined = keyed.withColumn("_size", F.octet_length("_payload")).join(told, ["_id", "_null", "_digest"], "left").withColumn("_payload", F.when(F.col("refers_to").isNull(), F.col("_payload")))
     placed = joined.repartition("_id", "_null", "_digest").sortWithinPartitions("_null", "_id")
-    return common.written(placed.select("page_id", "url", "_payload", "_digest", "refers_to", "refers_uri").mapInArrow(write, "path string, n_records long"), "warc-manifest")
+    return common.written(placed.select("page_id", "url", "_payload", "_size", "_digest", "refers_to", "refers_uri").mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """Records behind a manifest: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits). Digests of stored payloads are computed again and must agree."""
+    """Records behind a manifest: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
+
+    Digests of stored payloads are computed again and must agree. Null ids and urls come back null; an empty
+    payload is an empty response. An empty manifest gives no row.
+    """
 
     def read(batches):
         import pyarrow as pa
