@@ -122,6 +122,12 @@ def judge(docs: DataFrame, host_column: str = "source", text_column: str = "text
     return judged.select(*common.row_columns(columns), F.col("stats").alias("_stats"), "base_failed", "kept")
 
 
+def kept_documents(docs: DataFrame, host_column: str = "source", text_column: str = "text", max_rate: float = 0.6) -> DataFrame:
+    """The rows of docs that judge() keeps, with the columns of docs as they were. Nulls, ties, repeats and empty tables as there."""
+    stats = common.written(with_stats(docs, None, text_column), "quality-stats")
+    return judged_rows(stats, host_column, max_rate).where("kept").select(*common.row_columns(docs.columns))
+
+
 def judged_rows(stats: DataFrame, host_column: str, max_rate: float) -> DataFrame:
     """with_stats()'s rows (written) with base_failed and kept.
 
