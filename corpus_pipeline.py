@@ -9,22 +9,22 @@ from tideline.llm import common, mix, pack, quality, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host isn't rejected."""
-    return quality.judge(docs).where("kept").select(docs.columns)
+    """Documents that pass the rules and whose host isn't rejected, with their columns as they were. Null and empty texts fail, null hosts are one host; equal rows fare alike; empty tables stay empty."""
+    return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8)."""
+    """One document, that of the smallest doc_id, of each group of copies and near copies (five-word shingles, similarity 0.8). Null counts as the empty text; of equal rows one stays; columns pass through; empty tables stay empty."""
     return simhash.drop_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, shuffled in shards."""
+    """Documents as often as the mix of sources takes them, shuffled in shards. Null sources are one source; equal rows are taken alike; columns pass through; empty tables stay empty."""
     return mix.mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 ids."""
+    """Pieces of documents in sequences of at most 1024 ids. Null counts as the empty text (its end id alone); equal rows are documents of their own; other columns are ignored; empty tables give no row."""
     return pack.pack_documents(docs, kept=150_000)
 
 
