@@ -23,13 +23,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A written table on both sides lets adaptive execution split a hub's rows, or broadcast what is small.
-        low = common.written(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w")), "components-low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").distinct()
+        spent = [now, common.written(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w")), "components-low")]
+        large = both.join(spent[1], "u").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").distinct()
         held = common.written(large, "components-large")
         low = common.written(held.groupBy("u").agg(F.min("v").alias("w")), "components-low")
+        spent += [held, low]
         small = held.join(low, "u").select("u", "v", "w")
         pairs = small.select(F.explode(F.array(F.struct("u", F.col("w").alias("v")), F.struct(F.col("v").alias("u"), F.col("w").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = common.written(pairs, "components-small")
+        common.discard(*spent)
         was, marks = marks, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if was == marks:
             break

@@ -98,6 +98,37 @@ def near(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         front, left = [int(left[0])], left[1:]
 
 
+def shared_only(rows: DataFrame) -> DataFrame:
+    """rows (bucket and further columns) less those alone in their bucket, but for a few at the borders of tasks.
+
+    Ranges of bucket and the next column part even one bucket with all rows; in order, a row has company if a neighbour has its bucket.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            same = bucket[1:] == bucket[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            if last is not None and (first or last[1] or last[0].column(0)[0].as_py() == bucket[0]):
+                yield last[0]
+                first = False
+            keep[0] |= last is None or last[0].column(0)[0].as_py() == bucket[0]
+            # Whether the last row has company shows in the next batch.
+            last = (batch.slice(len(bucket) - 1), bool(keep[-1]))
+            keep[-1] = False
+            yield batch.filter(pa.array(keep))
+        if last is not None:
+            yield last[0]
+
+    by = rows.columns[:2]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, rows.schema)
+
+
 def links(fps: DataFrame, radius: int, seed: int = 1, most: int = 2000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all pairs within radius.
 
@@ -121,8 +152,10 @@ def links(fps: DataFrame, radius: int, seed: int = 1, most: int = 2000) -> DataF
 
     rows, found, depth = bucketed(fps.select("fp"), radius, seed), None, 0
     while True:
-        counted = rows.select("fp", "bucket", F.count(F.lit(1)).over(Window.partitionBy("bucket")).alias("members")).where("members > 1")
-        met = common.written(counted, f"simhash-buckets-{depth}")
+        shared = common.written(shared_only(rows.select("bucket", "fp")), f"simhash-shared-{depth}")
+        counts = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        met = common.written(shared.join(counts, "bucket").select("fp", "bucket", "members"), f"simhash-buckets-{depth}")
+        common.discard(shared)
         small = met if depth == 2 else met.where(F.col("members") <= most)
         edges = small.groupBy("bucket").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, schema)
         found = edges if found is None else found.unionAll(edges)
@@ -288,36 +321,6 @@ def possible(pairs: DataFrame, per_text: DataFrame, similarity: float) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
-def shared_only(rows: DataFrame) -> DataFrame:
-    """rows (bucket, node, at) less those alone in their bucket, but for a few at the borders of tasks.
-
-    Ranges of (bucket, node) part even one bucket with all rows; in order, a row has company if a neighbour has its bucket.
-    """
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, first = None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket = batch.column(0).to_numpy()
-            same = bucket[1:] == bucket[:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            if last is not None and (first or last[1] or last[0].column(0)[0].as_py() == bucket[0]):
-                yield last[0]
-                first = False
-            keep[0] |= last is None or last[0].column(0)[0].as_py() == bucket[0]
-            # Whether the last row has company shows in the next batch.
-            last = (batch.slice(len(bucket) - 1), bool(keep[-1]))
-            keep[-1] = False
-            yield batch.filter(pa.array(keep))
-        if last is not None:
-            yield last[0]
-
-    return rows.select("bucket", "node", "at").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long, at int")
-
-
 def crossing(rows: DataFrame, name: str) -> DataFrame:
     """rows (node, bucket, at, root) of buckets in which several roots meet, with members and hub (node and root, the foremost in an order that all buckets share)."""
     hub = F.max(F.struct(F.xxhash64("node").alias("turn"), "node", "root")).alias("hub")
@@ -437,7 +440,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     distinct = docs.select("node", "text")
     per_text = common.written(profiles(distinct, width, similarity, seed, frequent(distinct, width, seed), levels), "near-profiles")
     rows = per_text.select("node", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "bucket"))
-    met = common.written(shared_only(rows), "near-buckets")
+    met = common.written(shared_only(rows.select("bucket", "node", "at")), "near-buckets")
     spent, found, roots = [per_text, met], None, None
     for turn in ("covered", "hubs", "rest"):
         if turn == "covered":
