@@ -250,16 +250,17 @@ def test_near_duplicates_leave_one_of_each_group(spark, none):
 
 def near_roots(spark, texts, **how):
     """The groups of near_duplicates() as sets of positions in texts, and those of brute force."""
-    nodes = random.Random(5).sample(range(2**62), len(texts))  # near copies aren't neighbours in their order
-    frame = spark.createDataFrame([(n, k, t) for k, (n, t) in enumerate(zip(nodes, texts, strict=True))], "node long, doc_id long, text string")
+    rows = [(str(k).encode(), False, k, t) for k, t in enumerate(texts)]
+    random.Random(5).shuffle(rows)  # near copies aren't neighbours in their order
+    frame = spark.createDataFrame(rows, "digest binary, none boolean, id long, text string")
     found = defaultdict(set)
     for r in simhash.near_duplicates(frame, **how).collect():
-        found[r["root"]].add(nodes.index(r["node"]))
+        found[r["root"]].add(r["own"]["id"])
     sets = [shingle_set(t) for t in texts]
     linked = defaultdict(set)
     for k, c in groups([(a, b) for a, b in combinations(range(len(texts)), 2) if similarity(sets[a], sets[b]) >= 0.8], range(len(texts))).items():
         linked[c].add(k)
-    return sorted(map(sorted, found.values())), sorted(sorted(g) for g in linked.values() if len(g) > 1)
+    return sorted(sorted(g) for g in found.values() if len(g) > 1), sorted(sorted(g) for g in linked.values() if len(g) > 1)
 
 
 def permuted_pairs(rng, count):

@@ -123,9 +123,15 @@ def judge(docs: DataFrame, host_column: str = "source", text_column: str = "text
 
 
 def kept_documents(docs: DataFrame, host_column: str = "source", text_column: str = "text", max_rate: float = 0.6) -> DataFrame:
-    """The rows of docs that judge() keeps, with the columns of docs as they were. Nulls, ties, repeats and empty tables as there."""
-    stats = common.written(with_stats(docs, None, text_column), "quality-stats")
-    return judged_rows(stats, host_column, max_rate).where("kept").select(*common.row_columns(docs.columns))
+    """The rows of docs that judge() keeps, with the columns of docs as they were. Nulls, ties, repeats and empty tables as there. Rows that fail a base rule leave their counts behind only."""
+    rules, host = document_rules(), F.col("row").getField(host_column)
+    base = rules["few_words"] | rules["repeats"]
+    counted = with_stats(docs, None, text_column).select(F.when(~base, F.col("row")).alias("row"), host.alias("host"), "stats")
+    counted = common.written(counted, "quality-stats")
+    hosts = host_verdicts(counted.select("host", *(c.alias(r) for r, c in rules.items())), "host", list(rules), max_rate)
+    bad = hosts.where("host_bad").select(F.col("host").alias("bad_host"))
+    won = counted.where("row IS NOT NULL").join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
+    return won.select(*common.row_columns(docs.columns))
 
 
 def judged_rows(stats: DataFrame, host_column: str, max_rate: float) -> DataFrame:

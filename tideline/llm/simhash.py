@@ -205,8 +205,8 @@ def frequent(docs: DataFrame, width: int, seed: int, sample: int = 4000, most: i
             values, counts = np.unique(flat, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"])
 
-    every = max(1, docs.select("node").count() // sample)
-    some = docs.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(every)) == 0).select("text")
+    every = max(1, docs.select("digest").count() // sample)
+    some = docs.where(F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(every)) == 0).select("text")
     counted = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 3")
     top = counted.orderBy(F.desc("n"), "shingle").limit(most).toArrow().column("shingle")
     return top.to_numpy().view(np.uint64)
@@ -234,12 +234,12 @@ def most_apart(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int, similarity: float, seed: int, often: np.ndarray, levels: int) -> DataFrame:
-    """node, fp (SimHash fingerprint), n (shingles), need (how many of them a text that links must share), prefix, bits and wide (parities, null where bits are wide enough).
+    """digest, none and id of docs as they are, fp (SimHash fingerprint), n (shingles), need (how many of them a text that links must share), prefix, bits and wide (parities, null where bits are wide enough).
 
     prefix: the first n - need + levels shingles, the rare before the often ones, these from the rarest on. Texts that
     link share a shingle of their first n - need + 1, and a k-th of their first n - need + k.
     """
-    names = ["node", "fp", "n", "need", "prefix", "bits", "wide"]
+    names = ["digest", "none", "id", "fp", "n", "need", "prefix", "bits", "wide"]
 
     def run(batches):
         import pyarrow as pa
@@ -250,7 +250,7 @@ def profiles(docs: DataFrame, width: int, similarity: float, seed: int, often: n
         place = np.append(len(often) - by_hash, 0)
         for batch in common.slices(batches):
             fps, n, need, firsts, bits, wide = [], [], [], [], [], []
-            for t in common.text_bytes(batch.column(1)):
+            for t in common.text_bytes(batch.column(3)):
                 each = hashed(shingles((t or b"").lower().split(), width), seed)
                 own = np.unique(each)
                 at = np.searchsorted(known[:-1], own)
@@ -266,13 +266,14 @@ def profiles(docs: DataFrame, width: int, similarity: float, seed: int, often: n
             offsets = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
             fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, pa.array(n, pa.int32()), pa.array(need, pa.int32()), prefix, pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fps, pa.array(n, pa.int32()), pa.array(need, pa.int32()), prefix, pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], names=names)
 
-    return docs.select("node", "text").mapInArrow(run, "node long, fp long, n int, need int, prefix array<long>, bits binary, wide binary")
+    schema = "digest binary, none boolean, id long, fp long, n int, need int, prefix array<long>, bits binary, wide binary"
+    return docs.select("digest", "none", "id", "text").mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """node and shingles (sorted distinct u64 hashes, as bytes) of every row."""
+    """node and shingles (sorted distinct u64 hashes, as bytes) of every row of docs (node, text)."""
 
     def run(batches):
         import pyarrow as pa
@@ -322,10 +323,10 @@ def possible(pairs: DataFrame, per_text: DataFrame, similarity: float) -> DataFr
 
 
 def crossing(rows: DataFrame, name: str) -> DataFrame:
-    """rows (node, bucket, at, root) of buckets in which several roots meet, with members and hub (node and root, the foremost in an order that all buckets share)."""
+    """rows (node, bucket, root and further columns) of buckets in which several roots meet, with members and hub (node and root, the foremost in an order that all buckets share)."""
     hub = F.max(F.struct(F.xxhash64("node").alias("turn"), "node", "root")).alias("hub")
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo <> hi")
-    return common.written(rows.join(buckets.drop("lo", "hi"), "bucket").select("node", "bucket", "at", "root", "members", "hub"), name)
+    return common.written(rows.join(buckets.drop("lo", "hi"), "bucket"), name)
 
 
 def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most: int, levels: int) -> DataFrame:
@@ -390,7 +391,9 @@ def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most:
         # Texts that need no further shingle also stay together.
         further = f"filter(transform(prefix, (s, k) -> struct(s, cast(k as int) as k)), e -> e.k > at and e.k < n - need + {level + 1})"
         further = f"concat({further}, if(need <= {level}, array(struct(0L as s, at as k)), array()))"
-        split = crowded.select("node", "bucket", "at", "root").join(per_text.select("node", "n", "need", "prefix"), "node").select("node", "bucket", "root", F.explode(F.expr(further)).alias("e"))
+        at = F.expr("cast(array_position(prefix, bucket) - 1 as int)") if level == 1 else F.col("at")
+        split = crowded.drop("members", "hub").join(per_text.select("node", "n", "need", "prefix"), "node").withColumn("at", at)
+        split = split.select("node", "bucket", "root", F.explode(F.expr(further)).alias("e"))
         apart = crossing(split.select("node", F.expr("xxhash64(bucket, e.s)").alias("bucket"), F.col("e.k").alias("at"), "root"), f"near-apart-{level}")
 
 
@@ -427,27 +430,30 @@ def covered_pairs(per_text: DataFrame, radius: int, seed: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 4, most: int = 2000, levels: int = 3) -> DataFrame:
-    """(node, root) of those texts that are near duplicates of others, in groups by chains of links.
-
-    docs: node (long, one for each row) and text (null: empty). Texts link at a Jaccard similarity of their sets of
-    width-word shingles of at least similarity, computed exactly; roots are those of all links, none is lost. First
-    SimHash fingerprints of those shingles meet in the covering tables of radius: that joins most copies with
-    few edits. A similarity of 0.8 lies some ten bits apart, beyond any radius that a covering can pay for, so
-    the rest meets in buckets of the shingles of prefixes, as all texts that link do (prefix filter): each text is
-    compared with the foremost text of its buckets and its neighbour there, which joins most of what is left by
-    few pairs; at last with all others of other groups. Texts without words link with each other. Empty: no row.
+    """digest, own (none and id of the least row) and root of each distinct text; texts of one root are near duplicates, in groups by chains of links.
+
+    docs: digest (of the text), none and id (what orders rows of one text), text (null: empty). Texts link at a
+    Jaccard similarity of their sets of width-word shingles of at least similarity, computed exactly; roots are
+    those of all links, none is lost. First SimHash fingerprints of those shingles meet in the covering tables of
+    radius: that joins most copies with few edits. A similarity of 0.8 lies some ten bits apart, beyond any
+    radius that a covering can pay for, so the rest meets in buckets of the shingles of prefixes, as all texts that
+    link do (prefix filter): each text is compared with the foremost text of its buckets and its neighbour there,
+    which joins most of what is left by few pairs; at last with all others of other groups. Texts without words link
+    with each other. Empty: no row. Texts stay where they lie but for those that are compared.
     """
-    distinct = docs.select("node", "text")
-    per_text = common.written(profiles(distinct, width, similarity, seed, frequent(distinct, width, seed), levels), "near-profiles")
-    rows = per_text.select("node", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "bucket"))
-    met = common.written(shared_only(rows.select("bucket", "node", "at")), "near-buckets")
-    spent, found, roots = [per_text, met], None, None
+    each = profiles(docs, width, similarity, seed, frequent(docs, width, seed), levels)
+    shape = F.struct("fp", "n", "need", "prefix", "bits", "wide")
+    each = each.groupBy("digest").agg(F.min(F.struct("none", "id")).alias("own"), F.first(shape).alias("shape"))
+    per_text = common.written(each.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "shape.*"), "near-profiles")
+    rows = per_text.select(F.explode(F.slice("prefix", F.lit(1), F.col("n") - F.col("need") + 1)).alias("bucket"), "node")
+    met = common.written(shared_only(rows), "near-buckets")
+    spent, found, roots = [met], None, None
     for turn in ("covered", "hubs", "rest"):
         if turn == "covered":
             pairs = covered_pairs(per_text, radius, seed)
         else:
             rows = met if turn == "hubs" else apart
-            rows = rows.select("node", "bucket", "at").join(roots, "node", "left").select("node", "bucket", "at", F.coalesce("root", "node").alias("root"))
+            rows = rows.select("node", "bucket").join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
             apart = crossing(rows, f"near-{turn}")
             spent.append(apart)
         if turn == "hubs":
@@ -459,15 +465,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
         else:
             pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = common.written(possible(pairs, per_text, similarity), "near-pairs")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = common.written(shingle_sets(docs.select("node", "text").join(named, "node", "left_semi"), width, seed), "near-sets")
+        named = per_text.select("node", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+        texts = docs.select("digest", "text").join(common.written(named, "near-named"), "digest").select("node", "text").dropDuplicates(["node"])
+        sets = common.written(shingle_sets(texts, width, seed), "near-sets")
         linked = common.written(jaccard_at_least(pairs, sets, similarity), "near-links")
-        common.discard(sets)
+        common.discard(sets, pairs)
         found = linked if found is None else found.unionAll(linked)
         if roots is None or not linked.isEmpty():
             roots = common.written(components(found), "near-roots")
-    common.discard(*spent)
-    return roots
+    out = per_text.select("node", "digest", "own").join(roots, "node", "left").select("digest", "own", F.coalesce("root", "node").alias("root"))
+    out = common.written(out, "near-groups")
+    common.discard(per_text, *spent)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, **how) -> DataFrame:
@@ -478,16 +487,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     Columns and order of columns are those of docs, whatever else they are called; empty tables stay empty.
     """
     text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
-    keyed = common.as_row(docs, F.unhex(F.sha2(text, 256)).alias("digest"), doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.alias("words"))
-    each = keyed.groupBy("digest").agg(F.min(F.struct("none", "id")).alias("own"), F.first("words").alias("text"))
-    each = common.written(each.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "text"), "near-texts")
-    roots = near_duplicates(each, width, similarity, **how)
-    rooted = each.select("node", "digest", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("own", "digest")).alias("s")).select(F.col("s.digest").alias("digest"), F.col("s.own.none").alias("none"), F.col("s.own.id").alias("id"))
-    stays = common.written(stays, "near-stays")
-    common.discard(each, roots)
-    # The key holds doc_id, so copies of one text part; only rows equal in both meet again, and one of them stays.
+    keyed = common.as_row(docs, F.unhex(F.sha2(text, 256)).alias("digest"), doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.alias("text"))
+    groups = near_duplicates(keyed.drop("row"), width, similarity, **how)
+    stays = groups.groupBy("root").agg(F.min(F.struct("own", "digest")).alias("s"))
     key = ["digest", "none", "id"]
-    won = keyed.drop("words").join(stays, key, "left_semi")
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
-    return won.withColumn("turn", turn).where("turn = 1").select(*common.row_columns(docs.columns))
+    stays = common.written(stays.select("s.digest", "s.own.none", "s.own.id"), "near-stays")
+    won = keyed.drop("text").join(stays, key, "left_semi")
+    # The key holds doc_id, so copies of one text part; only rows equal in both meet again, and one of them stays.
+    repeated = common.written(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(key), "near-repeated")
+    if not repeated.isEmpty():
+        again = won.join(repeated, key, "left_semi").withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("turn = 1")
+        won = won.join(repeated, key, "left_anti").unionAll(again.drop("turn"))
+    return won.select(*common.row_columns(docs.columns))
