@@ -823,3 +823,16 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.packing(spark, mixed_, sf).collect()
     assert sum(r["length"] for r in pieces) == sum(len(i) for i in encoded([r["text"] for r in mixed_.collect()]))
     assert corpus_pipeline.run(spark, sf).count() == len(pieces)
+
+
+def test_rows_without_company_drop_out():
+    """Rows that stay are all those of pairs that sizes let link, by the parts of prefixes that the shorter and the longer text of a pair need."""
+    rng = random.Random(17)
+    for _ in range(200):
+        rows = sorted((rng.randrange(4), rng.randrange(1, 40), rng.random() < 0.4) for _ in range(rng.randrange(1, 30)))
+        got = simhash.company(*(np.array(c) for c in zip(*rows, strict=True)), 0.8)
+        want = [False] * len(rows)
+        for (i, (a, n, p)), (j, (b, m, _)) in combinations(enumerate(rows), 2):
+            if a == b and n >= 0.8 * m - 1e-9 and not p:
+                want[i] = want[j] = True
+        assert got.tolist() == want

@@ -191,7 +191,7 @@ def shingle_set(text: bytes | None, width: int, seed: int) -> np.ndarray:
     return np.unique(hashed(shingles((text or b"").lower().split(), width), seed))
 
 
-def frequent(docs: DataFrame, width: int, seed: int, sample: int = 4000, most: int = 100_000) -> np.ndarray:
+def frequent(docs: DataFrame, width: int, seed: int, sample: int = 20_000, most: int = 400_000) -> np.ndarray:
     """Hashes of shingles that some sample of the texts holds three times or more, the most frequent first.
 
     They only set the order in which prefixes are taken: any order finds every pair, this one keeps buckets small.
@@ -322,6 +322,57 @@ def possible(pairs: DataFrame, per_text: DataFrame, similarity: float) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
+def company(bucket: np.ndarray, n: np.ndarray, probe: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of whole buckets, in order of bucket, n and probe, have one there that sizes let link."""
+    at = np.arange(len(bucket))
+    follows = bucket[1:] == bucket[:-1]
+    begins = np.maximum.accumulate(np.where(np.append(True, ~follows), at, 0))
+    # The nearest shorter text that is indexed, and (for an indexed one) the nearest longer text, fit best.
+    indexed = np.append(-1, np.maximum.accumulate(np.where(~probe, at, -1))[:-1])
+    close = lambda small, large: small >= similarity * large - 1e-9
+    return (indexed >= begins) & close(n[indexed], n) | ~probe & np.append(follows & close(n[:-1], n[1:]), False)
+
+
+def meeting(per_text: DataFrame, similarity: float) -> DataFrame:
+    """bucket and node of the shingles of prefixes, less rows that no text in their bucket can link with; a task keeps those of its first and last bucket.
+
+    Of two texts that link, the first shingle that they share lies in the prefix of the longer one and in the shorter
+    one's first n - 2 s / (1 + s) n + 1, its index part. So rows beyond that (probe) only meet shorter texts.
+    Ranges of bucket, n and node part even one bucket with all rows.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(rows, border):
+            bucket, n, probe = rows.column("bucket").to_numpy(), rows.column("n").to_numpy(), rows.column("probe").to_numpy()
+            keep = company(bucket, n, probe, similarity)
+            for b in border:
+                keep |= bucket == b
+            yield from rows.select(["bucket", "node"]).filter(pa.array(keep)).to_batches()
+
+        held, first = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            first = bucket[0] if first is None else first
+            # The last bucket of a batch may go on in the next one.
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            if last or held and held[-1].column(0)[0].as_py() != bucket[0]:
+                yield from out(pa.Table.from_batches([*held, batch.slice(0, last)]), [first])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from out(pa.Table.from_batches(held), [first, held[0].column(0)[0].as_py()])
+
+    indexed = F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-9)
+    rows = per_text.select("n", "node", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "bucket"))
+    rows = rows.select("bucket", "n", (F.col("at") >= F.col("n") - indexed + 1).alias("probe"), "node")
+    order = ["bucket", "n", "probe", "node"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "bucket long, node long")
+
+
 def crossing(rows: DataFrame, name: str) -> DataFrame:
     """rows (node, bucket, root and further columns) of buckets in which several roots meet, with members and hub (node and root, the foremost in an order that all buckets share)."""
     hub = F.max(F.struct(F.xxhash64("node").alias("turn"), "node", "root")).alias("hub")
@@ -437,34 +488,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     those of all links, none is lost. First SimHash fingerprints of those shingles meet in the covering tables of
     radius: that joins most copies with few edits. A similarity of 0.8 lies some ten bits apart, beyond any
     radius that a covering can pay for, so the rest meets in buckets of the shingles of prefixes, as all texts that
-    link do (prefix filter): each text is compared with the foremost text of its buckets and its neighbour there,
-    which joins most of what is left by few pairs; at last with all others of other groups. Texts without words link
-    with each other. Empty: no row. Texts stay where they lie but for those that are compared.
+    link do (prefix filter): in larger ones each text is compared with the foremost, which joins most of what is
+    left by few pairs; at last with all others of other groups. Texts without words link with each other. Empty: no
+    row. Texts stay where they lie but for those that are compared.
     """
     each = profiles(docs, width, similarity, seed, frequent(docs, width, seed), levels)
     shape = F.struct("fp", "n", "need", "prefix", "bits", "wide")
     each = each.groupBy("digest").agg(F.min(F.struct("none", "id")).alias("own"), F.first(shape).alias("shape"))
     per_text = common.written(each.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "shape.*"), "near-profiles")
-    rows = per_text.select(F.explode(F.slice("prefix", F.lit(1), F.col("n") - F.col("need") + 1)).alias("bucket"), "node")
-    met = common.written(shared_only(rows), "near-buckets")
+    met = common.written(meeting(per_text, similarity), "near-buckets")
     spent, found, roots = [met], None, None
     for turn in ("covered", "hubs", "rest"):
         if turn == "covered":
             pairs = covered_pairs(per_text, radius, seed)
-        else:
+        elif turn == "hubs" or not linked.isEmpty():
             rows = met if turn == "hubs" else apart
             rows = rows.select("node", "bucket").join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
             apart = crossing(rows, f"near-{turn}")
             spent.append(apart)
         if turn == "hubs":
-            chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))).orderBy("node")
-            to_next = apart.select("node", "root", F.lag("node").over(chain).alias("other"), F.lag("root").over(chain).alias("its")).where("root <> its").select("node", "other")
-            pairs = apart.where("root <> hub.root").select("node", F.col("hub.node").alias("other")).unionAll(to_next)
+            pairs = apart.where((F.col("members") > 8) & (F.col("root") != F.col("hub.root"))).select("node", F.col("hub.node").alias("other"))
         if turn == "rest":
             pairs = pairs_apart(apart, per_text, similarity, most, levels)
         else:
             pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = common.written(possible(pairs, per_text, similarity), "near-pairs")
+        # Nearly all covered pairs link.
+        pairs = common.written(pairs if turn == "covered" else possible(pairs, per_text, similarity), "near-pairs")
         named = per_text.select("node", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
         texts = docs.select("digest", "text").join(common.written(named, "near-named"), "digest").select("node", "text").dropDuplicates(["node"])
         sets = common.written(shingle_sets(texts, width, seed), "near-sets")
