@@ -110,8 +110,9 @@ def tail_loss(r: np.ndarray, w: np.ndarray, beta: float) -> float:
 def min_tail_loss(r, prev=None, beta=0.95, w_max=1.0, **_):
     """Least conditional value at risk, a linear program over scenarios, by a primal-dual interior point.
 
-    Variables: weights and their slack to the cap, the quantile (free), and two non-negative slacks for each scenario;
-    normal equations reduce to the size of the assets.
+    Variables: weights and their slack to the cap, the quantile (free), and two non-negative slacks for each scenario.
+    Normal equations are dense, of the size of scenarios and assets. Residuals over 0.001 are no solution: the weights before stay, or
+    equal ones where there are none.
     """
     t, n = r.shape
     if n * w_max < 1:
@@ -127,7 +128,8 @@ def min_tail_loss(r, prev=None, beta=0.95, w_max=1.0, **_):
     x, s, y = np.full(len(c), 0.1), np.full(len(c), 0.1), np.zeros(len(b))
     for _ in range(100):
         rp, rd, mu = b - a @ x, c - a.T @ y - s, x @ s / len(x)
-        if max(np.abs(rp).max(), np.abs(rd).max(), mu) < 1e-10:
+        gap = max(np.abs(rp).max(), np.abs(rd).max(), mu)
+        if gap < 1e-10:
             break
         d = x / s
         try:
@@ -149,6 +151,8 @@ def min_tail_loss(r, prev=None, beta=0.95, w_max=1.0, **_):
         dy, ds, dx = direction(-x * s - dx * ds + centre * mu)
         px, ps = longest(x, dx), longest(s, ds)
         x, y, s = x + px * dx, y + ps * dy, s + ps * ds
+    if not gap < 1e-3:
+        return equal_weight(r) if prev is None else prev
     w = finish(np.minimum(x[:n], w_max))
     return w if np.isfinite(w).all() else equal_weight(r)
 
@@ -211,5 +215,10 @@ class Allocator:
         if self.name not in ALLOCATORS:
             raise ValueError(f"unknown allocator {self.name}; known: {', '.join(ALLOCATORS)}")
 
+    @property
+    def depends_on_previous(self) -> bool:
+        """Whether a rebalancing needs the weights before it."""
+        return bool(dict(self.settings).get("turnover_penalty", 0.0))
+
     def weights(self, returns: np.ndarray, prev: np.ndarray | None = None) -> np.ndarray:
         return ALLOCATORS[self.name](np.asarray(returns, float), prev, **dict(self.settings))

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import normal_cdf
 from ..models.allocators import Allocator
 
 YEAR = 252
@@ -44,11 +45,11 @@ def allocate(returns: DataFrame, assets: list[str], strategies: dict[str, dict[i
     """strategy, date, asset, w of every day from the first rebalancing on.
 
     returns: date, symbol, simple; labels: date, regime (for strategies with an allocator for each regime; others ignore it).
-    Rebalancings are rows of their own, so all of all strategies run in parallel, unless a strategy's turnover penalty makes
-    each depend on the one before; then the strategy is one task.
+    Rebalancings are groups of their own, each with its window of returns, so all of all strategies run in parallel,
+    unless a strategy's turnover penalty makes each depend on the one before; then the strategy is one task.
     """
     day = returns.groupBy("date").agg(*(F.max(F.when(F.col("symbol") == s, F.col("simple"))).alias(f"_{k}") for k, s in enumerate(assets))).na.drop()
-    day = day.select("date", F.array(*(f"_{k}" for k in range(len(assets)))).alias("r"))
+    day = day.select("date", F.array(*(f"_{k}" for k in range(len(assets)))).alias("r"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
     names = day.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
     switching = [n for n, a in strategies.items() if isinstance(a, dict)]
     if labels is not None:
@@ -57,21 +58,45 @@ def allocate(returns: DataFrame, assets: list[str], strategies: dict[str, dict[i
         names = names.withColumn("label", F.lit(None).cast("int"))
     names = names.withColumn("regime", F.when(F.col("strategy").isin(switching), F.col("label")).otherwise(F.lit(0)))
 
-    def solve(pdf):
+    def rows_of(name, date, w):
+        return [(name, date, a, float(x)) for a, x in zip(assets, w, strict=True)]
+
+    def allocator(name, regime):
+        chosen = strategies[name]
+        return chosen.get(regime, next(iter(chosen.values()))) if isinstance(chosen, dict) else chosen
+
+    def regimes_of(pdf):
+        return [None if x is None or x != x else int(x) for x in pdf["regime"].tolist()]
+
+    def due(pdf):
+        pdf = pdf.sort_values("date", ignore_index=True)
+        return pdf.loc[schedule(regimes_of(pdf), lookback, every), ["strategy", "date", "i", "regime"]]
+
+    def solve_one(pdf):
         import pandas as pd
 
-        name = pdf["strategy"].iloc[0]
-        pdf = pdf.sort_values("date")
-        r = np.array(pdf["r"].tolist(), dtype=float)
-        regimes = [None if x is None or x != x else int(x) for x in pdf["regime"].tolist()]
-        chosen, current, rows = strategies[name], None, []
+        pdf = pdf.sort_values("j")
+        name, at = pdf["strategy"].iloc[0], pdf["date"].iloc[0]
+        return pd.DataFrame(rows_of(name, at, allocator(name, int(pdf["regime"].iloc[0])).weights(np.array(pdf["r"].tolist(), dtype=float))), columns=["strategy", "date", "asset", "w"])
+
+    def solve_all(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("date", ignore_index=True)
+        name, r, regimes, current, rows = pdf["strategy"].iloc[0], np.array(pdf["r"].tolist(), dtype=float), regimes_of(pdf), None, []
         for t in schedule(regimes, lookback, every):
-            one = chosen.get(regimes[t], next(iter(chosen.values()))) if isinstance(chosen, dict) else chosen
-            current = one.weights(r[t + 1 - lookback : t + 1], current)
-            rows += [(name, pdf["date"].iloc[t], a, float(w)) for a, w in zip(assets, current, strict=True)]
+            current = allocator(name, regimes[t]).weights(r[t + 1 - lookback : t + 1], current)
+            rows += rows_of(name, pdf["date"].iloc[t], current)
         return pd.DataFrame(rows, columns=["strategy", "date", "asset", "w"])
 
-    set_ = names.groupBy("strategy").applyInPandas(solve, "strategy string, date date, asset string, w double")
+    schema = "strategy string, date date, asset string, w double"
+    serial = [n for n, a in strategies.items() if any(x.depends_on_previous for x in (a.values() if isinstance(a, dict) else [a]))]
+    free = names.where(~F.col("strategy").isin(serial)) if serial else names
+    set_days = free.select("strategy", "date", "i", "regime").groupBy("strategy").applyInPandas(due, "strategy string, date date, i int, regime int")
+    windows = set_days.withColumn("j", F.explode(F.sequence(F.col("i") - lookback + 1, F.col("i")))).join(day.select(F.col("i").alias("j"), "r"), "j")
+    set_ = windows.groupBy("strategy", "i").applyInPandas(solve_one, schema)
+    if serial:
+        set_ = set_.unionAll(names.where(F.col("strategy").isin(serial)).groupBy("strategy").applyInPandas(solve_all, schema))
     return hold(set_, names.select("strategy", "date"), assets)
 
 
@@ -100,14 +125,22 @@ def run_backtest(weights: DataFrame, returns: DataFrame, cost_bps: Column | floa
     return net.withColumn("equity", F.product(1 + F.col("net")).over(so_far))
 
 
-def metrics(bt: DataFrame, key: tuple[str, ...] = ("strategy",)) -> DataFrame:
-    """Annual return, volatility, Sharpe, largest drawdown (of an equity that starts after the first day) and annual turnover."""
+def in_excess(bt: DataFrame, risk_free: DataFrame | None = None) -> DataFrame:
+    """bt with excess: net less the risk-free return (date, rf) of the day; a day without one counts as 0, as all do without the series."""
+    if risk_free is None:
+        return bt.withColumn("excess", F.col("net"))
+    return bt.join(risk_free.select("date", "rf"), "date", "left").withColumn("excess", F.col("net") - F.coalesce("rf", F.lit(0.0))).drop("rf")
+
+
+def metrics(bt: DataFrame, key: tuple[str, ...] = ("strategy",), risk_free: DataFrame | None = None) -> DataFrame:
+    """Annual return, volatility, Sharpe (of the return in excess of risk_free), largest drawdown (of an equity that starts after the first day) and annual turnover."""
+    bt = in_excess(bt, risk_free)
     peak = F.max("equity").over(Window.partitionBy(*key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     n = F.count("net")
     down = bt.withColumn("dd", F.try_divide(peak - F.col("equity"), peak))
     return down.groupBy(*key).agg(
         n.alias("days"), (F.pow(F.product(1 + F.col("net")), F.lit(float(YEAR)) / n) - 1).alias("ann_return"), (F.stddev_samp("net") * YEAR**0.5).alias("ann_vol"),
-        (F.try_divide(F.avg("net"), F.stddev_samp("net")) * YEAR**0.5).alias("sharpe"), F.max("dd").alias("max_drawdown"), F.try_divide(F.sum("turnover") * YEAR, 2 * n).alias("ann_turnover"),
+        (F.try_divide(F.avg("excess"), F.stddev_samp("excess")) * YEAR**0.5).alias("sharpe"), F.max("dd").alias("max_drawdown"), F.try_divide(F.sum("turnover") * YEAR, 2 * n).alias("ann_turnover"),
     ).withColumn("calmar", F.when(F.col("max_drawdown") > 0, F.col("ann_return") / F.col("max_drawdown")))
 
 
@@ -118,9 +151,10 @@ def common_window(bt: DataFrame) -> DataFrame:
     return bt.join(days, "date", "left_semi")
 
 
-def psr_arguments(bt: DataFrame, benchmark: Column | float = 0.0) -> DataFrame:
-    """Daily Sharpe sr, population skew g3 and kurtosis g4, and the argument of the normal in the probabilistic Sharpe ratio."""
-    m = bt.groupBy("strategy").agg(F.count("net").alias("n"), F.try_divide(F.avg("net"), F.stddev_samp("net")).alias("sr"), F.skewness("net").alias("g3"), (F.kurtosis("net") + 3).alias("g4"))
+def psr_arguments(bt: DataFrame, benchmark: Column | float = 0.0, risk_free: DataFrame | None = None) -> DataFrame:
+    """Daily Sharpe sr, population skew g3 and kurtosis g4 of returns in excess of risk_free, and the argument of the normal in the probabilistic Sharpe ratio."""
+    x = F.col("excess")
+    m = in_excess(bt, risk_free).groupBy("strategy").agg(F.count(x).alias("n"), F.try_divide(F.avg(x), F.stddev_samp(x)).alias("sr"), F.skewness(x).alias("g3"), (F.kurtosis(x) + 3).alias("g4"))
     star = benchmark if isinstance(benchmark, Column) else F.lit(float(benchmark))
     spread = F.sqrt(1 - F.col("g3") * F.col("sr") + (F.col("g4") - 1) / 4 * F.col("sr") ** 2)
     return m.withColumn("z", F.try_divide((F.col("sr") - star) * F.sqrt(F.col("n") - 1), spread))
@@ -133,17 +167,11 @@ def expected_max_sharpe(variance: float, trials: int) -> float:
     return variance**0.5 * ((1 - gamma) * inv(1 - 1 / trials) + gamma * inv(1 - 1 / (trials * np.e)))
 
 
-def deflated_sharpe(bt: DataFrame) -> DataFrame:
-    """strategy and the probability that its Sharpe ratio beats the best of as many trials without skill."""
-    trials = psr_arguments(bt).select("strategy", "n", "sr").agg(F.var_samp("sr").alias("v"), F.count("sr").alias("k")).first()
+def deflated_sharpe(bt: DataFrame, risk_free: DataFrame | None = None) -> DataFrame:
+    """strategy and the probability that its Sharpe ratio (in excess of risk_free) beats the best of as many trials without skill."""
+    trials = psr_arguments(bt, 0.0, risk_free).select("strategy", "n", "sr").agg(F.var_samp("sr").alias("v"), F.count("sr").alias("k")).first()
     star = expected_max_sharpe(trials["v"] or 0.0, trials["k"])
-
-    def cdf(batches):
-        for pdf in batches:
-            pdf["dsr"] = [NormalDist().cdf(z) if n >= 3 and z == z and z is not None else None for n, z in zip(pdf["n"], pdf["z"], strict=True)]
-            yield pdf[["strategy", "sr", "dsr"]]
-
-    return psr_arguments(bt, star).select("strategy", "n", "sr", "z").mapInPandas(cdf, "strategy string, sr double, dsr double")
+    return psr_arguments(bt, star, risk_free).select("strategy", "sr", F.when(F.col("n") >= 3, normal_cdf(F.col("z"))).alias("dsr"))
 
 
 def pbo_splits(net: DataFrame, n_blocks: int = 16) -> DataFrame:

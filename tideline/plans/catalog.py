@@ -200,7 +200,7 @@ def corr_summary(spark, d):
 def corr_histogram(spark, d):
     avg = ft.average_correlation(corr(spark, d)).where("avg_corr IS NOT NULL")
     edges = avg.agg(F.min("avg_corr").alias("lo"), F.max("avg_corr").alias("hi"))
-    bucket = F.least(F.floor(F.try_divide(F.col("avg_corr") - F.col("lo"), F.col("hi") - F.col("lo")) * 10), F.lit(9))
+    bucket = F.least(F.floor(F.try_divide(F.col("avg_corr") - F.col("lo"), F.col("hi") - F.col("lo")) * 50), F.lit(49))
     return avg.join(F.broadcast(edges)).groupBy(bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -296,7 +296,26 @@ def common_window(spark, d):
 
 def pbo_cscv(spark, d):
     net = tested(spark, d).withColumn("idx", F.row_number().over(Window.partitionBy("strategy").orderBy("date")) - 1)
-    return r6(bt.pbo(net.select("idx", "strategy", "net"), 10))
+    return r6(bt.pbo(net.select("idx", "strategy", "net")))
+
+
+def pbo_split_ranks(spark, d):
+    """How often each strategy is best in training, by its rank among the others' results."""
+    net = tested(spark, d).withColumn("idx", F.row_number().over(Window.partitionBy("strategy").orderBy("date")) - 1)
+    return r6(bt.pbo_splits(net.select("idx", "strategy", "net")).groupBy("strategy", "rank").agg(F.count(F.lit(1)).alias("splits"), F.avg("logit").alias("logit")))
+
+
+def risk_free(spark, d):
+    """The last asset stands for cash: its simple returns are the risk-free series."""
+    return simple_returns_of(spark, d).where(F.col("asset") == ASSETS[-1]).select("date", F.col("r").alias("rf"))
+
+
+def backtest_metrics_excess(spark, d):
+    return r6(bt.metrics(tested(spark, d), risk_free=risk_free(spark, d)))
+
+
+def deflated_sharpe_excess(spark, d):
+    return r6(bt.deflated_sharpe(tested(spark, d), risk_free(spark, d)))
 
 
 def psr_argument(spark, d):
@@ -340,7 +359,7 @@ def allocated(name: str, **settings) -> Callable[[SparkSession, str], DataFrame]
 
 
 def weights_switching(spark, d):
-    by_state = {0: Allocator("mean_variance"), 1: Allocator("risk_parity"), 2: Allocator("min_variance")}
+    by_state = {0: Allocator("mean_variance"), 1: Allocator("risk_parity"), 2: Allocator("min_cvar")}
     return r6(bt.allocate(complete_returns(spark, d), ASSETS, {"regime_vol": by_state}, known_labels(spark, d).where("method = 'vol'")))
 
 
@@ -357,7 +376,7 @@ PLAIN = (
     expanding_zscore, usable_rows, feature_matrix_trimmed, common_coverage, asset_availability, missingness, price_validation, macro_validation, return_describe, corr_summary, corr_histogram, corr_matrix,
     label_runs, label_distribution, label_persistence, crisis_share, detector_agreement, crisis_intervals, rebalance_schedule, weights_rules, weights_held, mean_weight_by_regime, alloc_turnover,
     backtest_daily, backtest_metrics, equity_drawdown, stress_returns, cost_sweep, common_window, pbo_cscv, psr_argument, ledoit_wolf, cov_to_corr, events_tumbling,
-    weights_switching, backtest_switching, deflated_sharpe,
+    pbo_split_ranks, backtest_metrics_excess, deflated_sharpe_excess, weights_switching, backtest_switching, deflated_sharpe,
 )
 
 

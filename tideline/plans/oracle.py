@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import e
+from statistics import NormalDist
 
 STRESS = [("early", "1996-03-01", "1996-09-30"), ("middle", "1998-07-01", "1999-02-28"), ("late", "2000-10-01", "2001-03-31")]
 ASSETS = ("AF", "AO", "NF", "NO", "RF", "RO")
@@ -92,6 +94,25 @@ e AS (SELECT any_value(m) AS m, sum((s - CASE WHEN a = b THEN m ELSE 0 END) ** 2
 lw AS (SELECT a, b, coalesce(least(b2, d2) / nullif(d2, 0), 0) AS rho, ((1 - coalesce(least(b2, d2) / nullif(d2, 0), 0)) * s + CASE WHEN a = b THEN coalesce(least(b2, d2) / nullif(d2, 0), 0) * m ELSE 0 END) * 252 AS cov FROM s, e)"""
 
 
+#: Combinatorially symmetric cross-validation over 16 blocks.
+CSCV = """n AS (SELECT strategy, net, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS idx FROM bt), k AS (SELECT (max(idx) + 1) // 16 AS rows, count(DISTINCT strategy) AS m FROM n),
+  b AS (SELECT strategy, idx // rows AS block, sum(net) AS s1, sum(net * net) AS s2 FROM n, k WHERE idx < rows * 16 GROUP BY ALL),
+  q AS (SELECT id, strategy, sum(s1) FILTER ((id >> block) & 1 = 1) AS a1, sum(s2) FILTER ((id >> block) & 1 = 1) AS a2, sum(s1) FILTER ((id >> block) & 1 = 0) AS b1, sum(s2) FILTER ((id >> block) & 1 = 0) AS b2
+    FROM b, (SELECT range AS id FROM range(65536) WHERE bit_count(range) = 8) GROUP BY id, strategy),
+  v AS (SELECT id, strategy, m, a1 / (rows * 8) / sqrt(greatest(a2 / (rows * 8) - (a1 / (rows * 8)) ** 2, 1e-18)) AS si, b1 / (rows * 8) / sqrt(greatest(b2 / (rows * 8) - (b1 / (rows * 8)) ** 2, 1e-18)) AS so FROM q, k),
+  o AS (SELECT strategy, m, row_number() OVER (PARTITION BY id ORDER BY si DESC, strategy) AS best, row_number() OVER (PARTITION BY id ORDER BY so, strategy) AS rank FROM v)"""
+
+
+def deflated(returns: str, trials: int = 3) -> str:
+    """Deflated Sharpe ratios of returns (strategy, y); the normal's distribution function is summed as a series."""
+    inv, gamma = NormalDist().inv_cdf, 0.5772156649015329
+    best = (1 - gamma) * inv(1 - 1 / trials) + gamma * inv(1 - 1 / (trials * e))
+    return f""", c AS (SELECT strategy, y, y - avg(y) OVER (PARTITION BY strategy) AS x FROM ({returns})),
+      m AS (SELECT strategy, count(y) AS n, avg(y) / nullif(stddev_samp(y), 0) AS sr, avg(x ** 3) / avg(x ** 2) ** 1.5 AS g3, avg(x ** 4) / avg(x ** 2) ** 2 AS g4 FROM c GROUP BY strategy),
+      z AS (SELECT strategy, sr, (sr - {best!r} * sqrt(var_samp(sr) OVER ())) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr ** 2) AS z FROM m)
+      SELECT strategy, {r('sr')} AS sr, {r("CASE WHEN z > 8 THEN 1 WHEN z < -8 THEN 0 WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))) END")} AS dsr FROM z"""
+
+
 def sql() -> dict[str, str]:
     week = trailing(13, "symbol")
     z = ", ".join(f"{r(c)} AS {c}" for c in ("v21", "v63", "fall", "avg_corr"))
@@ -142,7 +163,7 @@ def sql() -> dict[str, str]:
         "return_describe": f"""SELECT symbol, count(ret) AS n, {r('avg(ret)')} AS mean, {r('stddev_samp(ret)')} AS std, {r('min(ret)')} AS min, {r('max(ret)')} AS max, {r('avg(ret) * 252')} AS ann_mean,
           {r('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)')} AS sharpe FROM rets GROUP BY symbol""",
         "corr_summary": f"SELECT {r('avg(avg_corr)')} AS mean, {r('stddev_samp(avg_corr)')} AS std, {r('min(avg_corr)')} AS min, {r('max(avg_corr)')} AS max FROM avgc",
-        "corr_histogram": """SELECT least(floor((avg_corr - lo) / nullif(hi - lo, 0) * 10), 9)::INT AS bucket, count(*) AS n
+        "corr_histogram": """SELECT least(floor((avg_corr - lo) / nullif(hi - lo, 0) * 50), 49)::INT AS bucket, count(*) AS n
           FROM avgc, (SELECT min(avg_corr) AS lo, max(avg_corr) AS hi FROM avgc) WHERE avg_corr IS NOT NULL GROUP BY 1""",
         "corr_matrix": f", x AS (SELECT * FROM (SELECT date, {last} FROM rets GROUP BY date) WHERE {' AND '.join(f'{s} IS NOT NULL' for s in ASSETS)} ORDER BY date DESC LIMIT 500) {pair_cells}",
         "label_runs": "SELECT * FROM runs",
@@ -170,13 +191,14 @@ def sql() -> dict[str, str]:
         "common_window": f""", c AS (SELECT * FROM bt WHERE strategy <> 'tilt' OR date >= DATE '1996-06-01')
           SELECT strategy, count(net) AS days, {r('pow(product(1 + net), 252.0 / count(net)) - 1')} AS ann_return, {r('avg(net) / nullif(stddev_samp(net), 0) * sqrt(252)')} AS sharpe
           FROM c WHERE date IN (SELECT date FROM c GROUP BY date HAVING count(DISTINCT strategy) = (SELECT count(DISTINCT strategy) FROM c)) GROUP BY strategy""",
-        "pbo_cscv": f""", n AS (SELECT strategy, net, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS idx FROM bt), k AS (SELECT (max(idx) + 1) // 10 AS rows, count(DISTINCT strategy) AS m FROM n),
-          b AS (SELECT strategy, idx // rows AS block, sum(net) AS s1, sum(net * net) AS s2 FROM n, k WHERE idx < rows * 10 GROUP BY ALL),
-          q AS (SELECT id, strategy, sum(s1) FILTER ((id >> block) & 1 = 1) AS a1, sum(s2) FILTER ((id >> block) & 1 = 1) AS a2, sum(s1) FILTER ((id >> block) & 1 = 0) AS b1, sum(s2) FILTER ((id >> block) & 1 = 0) AS b2
-            FROM b, (SELECT range AS id FROM range(1024) WHERE bit_count(range) = 5) GROUP BY id, strategy),
-          v AS (SELECT id, strategy, m, a1 / (rows * 5) / sqrt(greatest(a2 / (rows * 5) - (a1 / (rows * 5)) ** 2, 1e-18)) AS si, b1 / (rows * 5) / sqrt(greatest(b2 / (rows * 5) - (b1 / (rows * 5)) ** 2, 1e-18)) AS so FROM q, k),
-          o AS (SELECT m, row_number() OVER (PARTITION BY id ORDER BY si DESC, strategy) AS best, row_number() OVER (PARTITION BY id ORDER BY so, strategy) AS rank FROM v)
-          SELECT count(*) AS splits, {r('avg((ln(rank / (m + 1.0) / (1 - rank / (m + 1.0))) <= 0)::INT)')} AS pbo FROM o WHERE best = 1""",
+        "pbo_cscv": f""", {CSCV} SELECT count(*) AS splits, {r('avg((ln(rank / (m + 1.0) / (1 - rank / (m + 1.0))) <= 0)::INT)')} AS pbo FROM o WHERE best = 1""",
+        "pbo_split_ranks": f""", {CSCV} SELECT strategy, rank::INT AS rank, count(*) AS splits, {r('avg(ln(rank / (m + 1.0) / (1 - rank / (m + 1.0))))')} AS logit FROM o WHERE best = 1 GROUP BY strategy, rank""",
+        "backtest_metrics_excess": f""", x AS (SELECT bt.*, net - coalesce(exp(ret) - 1, 0) AS excess FROM bt LEFT JOIN rets ON rets.date = bt.date AND rets.symbol = '{ASSETS[-1]}')
+          SELECT strategy, {METRICS.replace("avg(net) / nullif(stddev_samp(net), 0)", "avg(excess) / nullif(stddev_samp(excess), 0)")} FROM x GROUP BY strategy""",
+        "deflated_sharpe": deflated("SELECT strategy, net AS y FROM bt"),
+        "deflated_sharpe_excess": deflated(f"SELECT strategy, net - coalesce(exp(ret) - 1, 0) AS y FROM bt LEFT JOIN rets ON rets.date = bt.date AND rets.symbol = '{ASSETS[-1]}'"),
+        "weights_equal_weight": f""", d AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM rets GROUP BY date HAVING count(ret) = {len(ASSETS)})
+          SELECT 'equal_weight' AS strategy, date, asset, {r(f'1.0::DOUBLE / {len(ASSETS)}')} AS w FROM d, (SELECT unnest({list(ASSETS)}) AS asset) WHERE i >= 252""",
         "psr_argument": f""", c AS (SELECT *, net - avg(net) OVER (PARTITION BY strategy) AS x FROM bt),
           m AS (SELECT strategy, count(net) AS n, avg(net) / nullif(stddev_samp(net), 0) AS sr, avg(x ** 3) / avg(x ** 2) ** 1.5 AS g3, avg(x ** 4) / avg(x ** 2) ** 2 AS g4 FROM c GROUP BY strategy)
           SELECT strategy, n, {r('sr')} AS sr, {r('g3')} AS g3, {r('g4')} AS g4, {r('sr * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr ** 2)')} AS z FROM m""",
