@@ -142,6 +142,28 @@ def test_packing_balances_cost():
     assert sorted(used.values())[1] == 1024 and len(used) == -(-sum(lengths) // 1024)
 
 
+def test_quadratic_cost_is_spread():
+    """Sequences' costs lie closer together than if documents, in the same falling order, fill one sequence after the other."""
+    rng = random.Random(3)
+    lengths = [rng.choice([30, 60, 120, 500]) for _ in range(800)]
+
+    def spread(pieces):
+        cost = Counter()
+        for _, _, n, s, _ in pieces:
+            cost[s] += pack.piece_cost(n, 1.0, 1 / 1024)
+        full = sorted(cost.values())[1:]  # one sequence holds the remainder
+        return np.std(full) / np.mean(full)
+
+    in_turn, at = [], 0
+    for k, length in enumerate(sorted(lengths, reverse=True)):
+        start = 0
+        while start < length:
+            n = min(length - start, 1024 - at % 1024)
+            in_turn.append((k, start, n, at // 1024, at % 1024))
+            start, at = start + n, at + n
+    assert spread(pack.pack_block(lengths, 1024)) < spread(in_turn)
+
+
 def fingerprint(text, width, seed=42):
     import xxhash
 
@@ -274,7 +296,7 @@ def permuted_pairs(rng, count):
     return texts
 
 
-@pytest.mark.parametrize("how", [{}, {"most": 3}])
+@pytest.mark.parametrize("how", [{}, {"most": 3}, {"turns": 0}])
 def test_near_duplicates_in_crowded_buckets(spark, how):
     rng = random.Random(11)
     # The same words in other orders; and lists that share over half of their passages, so that shingles meet in crowds too.
@@ -288,6 +310,17 @@ def test_near_duplicates_in_crowded_buckets(spark, how):
     assert len(want) > 120
 
 
+def test_near_duplicates_of_a_wide_group(spark):
+    """A group that drifts: neighbours are near, ends are not, and no text is near all others."""
+    rng = random.Random(18)
+    words, texts = [f"w{k}" for k in range(150)], []
+    for k in range(150):
+        words[rng.randrange(150)] = f"new{k}"
+        texts.append(" ".join(words))
+    got, want = near_roots(spark, texts)
+    assert got == want
+
+
 def test_near_duplicates_by_kind_of_edit(spark):
     rng = random.Random(12)
     texts = []
@@ -306,6 +339,17 @@ def test_targets():
     got = mix.targets([100, 1, 100], [1, 2, 3])
     assert got[1] == 3 and got[0] + got[2] == pytest.approx(198) and got[2] == pytest.approx(3 * got[0])
     assert mix.targets([0, 5], [1, 2]) == [0, 5] and mix.targets([], []) == []
+    rng = random.Random(19)
+    for _ in range(50):
+        sizes, weights = [rng.randrange(1, 1000) for _ in range(rng.randrange(1, 9))], [rng.choice([1, 2, 3]) for _ in range(9)]
+        level = 0.0  # words for each unit of weight, raised until all are given out
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            level = (lo + hi) / 2
+            given = sum(min(level * w, 3 * s) for s, w in zip(sizes, weights, strict=False))
+            lo, hi = (level, hi) if given < sum(sizes) else (lo, level)
+        want = [min(level * w, 3 * s) for s, w in zip(sizes, weights, strict=False)]
+        assert mix.targets(sizes, weights[: len(sizes)]) == pytest.approx(want, rel=1e-6)
 
 
 def test_splitting_tree_parts_exactly():

@@ -380,10 +380,11 @@ def crossing(rows: DataFrame, name: str) -> DataFrame:
     return common.written(rows.join(buckets.drop("lo", "hi"), "bucket"), name)
 
 
-def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most: int, levels: int) -> DataFrame:
-    """All pairs (a, b) of nodes of different roots that share a bucket and may link.
+def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most: int, levels: int, whole_buckets: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share a bucket and may link, with more.
 
-    apart: what crossing() gives. A bucket of over most members is split by a further shingle that texts which link
+    apart: what crossing() gives. All such pairs, if whole_buckets; else a bucket with many pairs for its members gives
+    one for each member, and its number in more: once those are linked, few pairs of different roots are left. A bucket of over most members is split by a further shingle that texts which link
     must share; what is still large after levels shingles is cut in parts of about most members, and every part
     meets every other in a task of its own. Only pairs that sizes and parities let link leave a task.
     """
@@ -391,17 +392,21 @@ def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most:
     def run(batches):
         import pyarrow as pa
 
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        def out(a, b, more):
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([more] * len(a), pa.int64())], names=["a", "b", "more"])
 
         def compare(rows):
-            bucket, node, root, n = (rows.column(c).to_numpy() for c in ("bucket", "node", "root", "n"))
+            bucket, top, node, root, n = (rows.column(c).to_numpy() for c in ("bucket", "top", "node", "root", "n"))
             bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
             ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
             for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
                 i, j = may_link(node[lo:hi], root[lo:hi], n[lo:hi], bits[lo:hi], similarity)
+                more = None
+                if not whole_buckets and len(i) > max(32, 2 * (hi - lo)):
+                    first = np.unique(i, return_index=True)[1]
+                    i, j, more = i[first], j[first], int(top[lo])
                 for k in range(0, len(i), 100_000):
-                    yield out(node[lo + i[k : k + 100_000]], node[lo + j[k : k + 100_000]])
+                    yield out(node[lo + i[k : k + 100_000]], node[lo + j[k : k + 100_000]], more)
 
         held = []
         for batch in batches:
@@ -423,7 +428,7 @@ def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most:
             yield from compare(pa.Table.from_batches(held))
         common.trim()
 
-    found = None
+    found, apart = None, apart.withColumn("top", F.col("bucket"))
     for level in range(1, levels + 1):
         if level == levels:
             # One part alone meets itself.
@@ -433,19 +438,19 @@ def pairs_apart(apart: DataFrame, per_text: DataFrame, similarity: float, most:
             whole = whole.withColumn("bucket", F.when(parts > 1, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("bucket")))
         else:
             whole = apart.where(F.col("members") <= most)
-        whole = whole.select("node", "bucket", "root").join(per_text.select("node", "n", "bits"), "node").select("bucket", "root", "node", "n", "bits")
-        pairs = whole.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(run, "a long, b long")
+        whole = whole.select("node", "bucket", "root", "top").join(per_text.select("node", "n", "bits"), "node").select("bucket", "root", "node", "n", "bits", "top")
+        pairs = whole.repartition("bucket").sortWithinPartitions("bucket", "root", "node").mapInArrow(run, "a long, b long, more long")
         found = pairs if found is None else found.unionAll(pairs)
         crowded = apart.where(F.col("members") > most)
         if level == levels or crowded.isEmpty():
-            return found.distinct()
+            return found
         # Texts that need no further shingle also stay together.
         further = f"filter(transform(prefix, (s, k) -> struct(s, cast(k as int) as k)), e -> e.k > at and e.k < n - need + {level + 1})"
         further = f"concat({further}, if(need <= {level}, array(struct(0L as s, at as k)), array()))"
         at = F.expr("cast(array_position(prefix, bucket) - 1 as int)") if level == 1 else F.col("at")
         split = crowded.drop("members", "hub").join(per_text.select("node", "n", "need", "prefix"), "node").withColumn("at", at)
-        split = split.select("node", "bucket", "root", F.explode(F.expr(further)).alias("e"))
-        apart = crossing(split.select("node", F.expr("xxhash64(bucket, e.s)").alias("bucket"), F.col("e.k").alias("at"), "root"), f"near-apart-{level}")
+        split = split.select("node", "bucket", "root", "top", F.explode(F.expr(further)).alias("e"))
+        apart = crossing(split.select("node", F.expr("xxhash64(bucket, e.s)").alias("bucket"), F.col("e.k").alias("at"), "root", "top"), f"near-apart-{level}")
 
 
 def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -480,7 +485,7 @@ def covered_pairs(per_text: DataFrame, radius: int, seed: int) -> DataFrame:
     return ends.unionAll(same)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 4, most: int = 2000, levels: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 4, most: int = 2000, levels: int = 3, turns: int = 4) -> DataFrame:
     """digest, own (none and id of the least row) and root of each distinct text; texts of one root are near duplicates, in groups by chains of links.
 
     docs: digest (of the text), none and id (what orders rows of one text), text (null: empty). Texts link at a
@@ -489,31 +494,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     radius: that joins most copies with few edits. A similarity of 0.8 lies some ten bits apart, beyond any
     radius that a covering can pay for, so the rest meets in buckets of the shingles of prefixes, as all texts that
     link do (prefix filter): in larger ones each text is compared with the foremost, which joins most of what is
-    left by few pairs; at last with all others of other groups. Texts without words link with each other. Empty: no
-    row. Texts stay where they lie but for those that are compared.
+    left by few pairs; then with others of other groups, all of them where they are few, else one at a time for turns
+    rounds or until nothing links, and at last all. Texts without words link with each other. Empty: no row. Texts stay where they lie but for those that are compared.
     """
     each = profiles(docs, width, similarity, seed, frequent(docs, width, seed), levels)
     shape = F.struct("fp", "n", "need", "prefix", "bits", "wide")
     each = each.groupBy("digest").agg(F.min(F.struct("none", "id")).alias("own"), F.first(shape).alias("shape"))
     per_text = common.written(each.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "shape.*"), "near-profiles")
     met = common.written(meeting(per_text, similarity), "near-buckets")
-    spent, found, roots = [met], None, None
-    for turn in ("covered", "hubs", "rest"):
-        if turn == "covered":
+    spent, found, roots, turn = [met], None, None, 0
+    while True:
+        if not turn:
             pairs = covered_pairs(per_text, radius, seed)
-        elif turn == "hubs" or not linked.isEmpty():
-            rows = met if turn == "hubs" else apart
-            rows = rows.select("node", "bucket").join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
-            apart = crossing(rows, f"near-{turn}")
+        else:
+            rows = met.select("node", "bucket").join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
+            apart = crossing(rows if turn < 3 else rows.join(left, "bucket", "left_semi"), f"near-apart-{turn}")
             spent.append(apart)
-        if turn == "hubs":
+        if turn == 1:
             pairs = apart.where((F.col("members") > 8) & (F.col("root") != F.col("hub.root"))).select("node", F.col("hub.node").alias("other"))
-        if turn == "rest":
-            pairs = pairs_apart(apart, per_text, similarity, most, levels)
-        else:
+        if turn < 2:
             pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        else:
+            # Buckets with many pairs come again, with those joined that now belong together; at last whole.
+            last = turn == 2 + turns or turn > 2 and linked.isEmpty()
+            met_pairs = common.written(pairs_apart(apart, per_text, similarity, most, levels, last), "near-met")
+            left = common.written(met_pairs.where("more IS NOT NULL").select(F.col("more").alias("bucket")).distinct(), "near-left")
+            spent += [met_pairs, left]
+            pairs = met_pairs.select("a", "b").distinct()
         # Nearly all covered pairs link.
-        pairs = common.written(pairs if turn == "covered" else possible(pairs, per_text, similarity), "near-pairs")
+        pairs = common.written(possible(pairs, per_text, similarity) if turn else pairs, "near-pairs")
         named = per_text.select("node", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
         texts = docs.select("digest", "text").join(common.written(named, "near-named"), "digest").select("node", "text").dropDuplicates(["node"])
         sets = common.written(shingle_sets(texts, width, seed), "near-sets")
@@ -522,6 +531,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
         found = linked if found is None else found.unionAll(linked)
         if roots is None or not linked.isEmpty():
             roots = common.written(components(found), "near-roots")
+        if turn >= 2 and (last or left.isEmpty()):
+            break
+        turn += 1
     out = per_text.select("node", "digest", "own").join(roots, "node", "left").select("digest", "own", F.coalesce("root", "node").alias("root"))
     out = common.written(out, "near-groups")
     common.discard(per_text, *spent)
