@@ -485,7 +485,7 @@ def covered_pairs(per_text: DataFrame, radius: int, seed: int) -> DataFrame:
     return ends.unionAll(same)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 4, most: int = 2000, levels: int = 3, turns: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 4, most: int = 2000, levels: int = 3, turns: int = 1) -> DataFrame:
     """digest, own (none and id of the least row) and root of each distinct text; texts of one root are near duplicates, in groups by chains of links.
 
     docs: digest (of the text), none and id (what orders rows of one text), text (null: empty). Texts link at a
