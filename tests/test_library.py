@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline import cli, config
 from tideline.models import states as st
+from tideline.operators import features as ft
 from tideline.sources import files
 from tideline.streaming import filters
 
@@ -61,15 +62,70 @@ def test_command_line(spark, tmp_path):
     Path(out).mkdir()
     (tmp_path / "d.yaml").write_text("min_train: 200\nrefit_every: 80\n")
     (tmp_path / "a.yaml").write_text("lookback: 100\n")
-    (tmp_path / "b.yaml").write_text("n_blocks: 6\n")
+    (tmp_path / "b.yaml").write_text("n_blocks: 6\nrf_asset: A\nstress_windows: {spring: [2021-03-01, 2021-05-31]}\n")
     cli.main(["build", "--prices", f"{tmp_path}/p.parquet", "--out", out])
     cli.main(["detect", "--method", "changepoint", "--out", out, "--config", f"{tmp_path}/d.yaml"])
     cli.main(["allocate", "--method", "changepoint", "--out", out, "--config", f"{tmp_path}/a.yaml"])
     cli.main(["backtest", "--out", out, "--config", f"{tmp_path}/b.yaml"])
+    assert "2020 COVID" in Path(out, "detection.md").read_text() and "Mean weights of regime_changepoint by state" in Path(out, "allocation.md").read_text()
+    assert "| spring | regime_changepoint |" in Path(out, "backtest.md").read_text() and "Metrics of own windows" in Path(out, "backtest.md").read_text()
     assert "regime_changepoint" in Path(out, "backtest.md").read_text() and "| pbo |" in Path(out, "backtest.md").read_text().replace("splits | pbo", "pbo")
     assert "Gaps" in Path(out, "qa_report.md").read_text() or "gaps" in Path(out, "qa_report.md").read_text()
 
 
+def test_sections_and_other_names_of_settings(tmp_path):
+    (tmp_path / "d.yaml").write_text("""
+universe: {name: X, exchange: NYSE, assets: {A: {description: an asset, approx_inception: "2000-01-01"}}}
+dates: {start_date: "2004-01-01", end_date: null}
+sources: {prices: {price_column: Close}, macro: {series: {V: {description: v}, N: {description: n, optional: true}}}}
+calendar: {macro_max_staleness_days: 7, price_forward_fill: true}
+features: {windows: {correlation: 42}, trading_days_per_year: 250, correlation_exclude: [A], min_periods: {volatility: 11}}
+logging: {level: warning}
+""")
+    d = config.Data.from_yaml(tmp_path / "d.yaml")
+    assert d.tickers == ["A"] and d.required_series == ["V"] and d.start == "2004-01-01" and d.price_forward_fill and d.macro_max_staleness_days == 7 and d.log_level == "WARNING"
+    assert d.windows.correlation == 42 and d.min_periods.volatility == 11 and d.trading_days_per_year == 250 and d.correlation_exclude == ["A"] and d.price_column == "Close"
+    c = config.Detection(features=["a", "b", "c"], severity_features=["c", "b"], n_restarts=3, random_state=7, standardize_min_periods=30, cp_window=99, cp_pen_scale=1.5, covariance_type="full", n_iter=5)
+    assert c.settings("hmm") == {"n_states": 3, "seed": 7, "severity": [2, 1], "restarts": 3, "covariance": "full", "rounds": 5, "tol": 1e-4, "floor": 1e-3}
+    assert c.build("changepoint").window == 99 and c.build("jump").tries == 10 and c.zscore_min_periods == 30
+    a = config.Allocation(mean_shrinkage=0.1, cvar_beta=0.9, hrp_linkage="average")
+    assert dict(a.allocator("hrp").settings) == {"w_max": 1.0, "turnover_penalty": 0.0, "risk_aversion": 10.0, "mean_shrink": 0.1, "beta": 0.9, "linkage": "average"}
+    assert config.Backtest(cscv_blocks=4, cost_grid_bps=[1]).n_blocks == 4
+    with pytest.raises(ValueError):
+        config.Detection(n_sates=3)
+
+
+def test_settings_reach_the_feature_matrix(spark, tmp_path):
+    rng, day = np.random.default_rng(4), dt.date(2020, 1, 1)
+    walk = {s: 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 200))) for s in "ABC"}
+    prices = spark.createDataFrame([(day + dt.timedelta(i), s, float(v)) for s, p in walk.items() for i, v in enumerate(p) if (s, i) != ("B", 100)], "date date, symbol string, Close double").persist()
+    macro = spark.createDataFrame([(day + dt.timedelta(i), "V", float(i)) for i in range(0, 200, 9)], "date date, series_id string, value double")
+
+    def built(**settings):
+        cli.build(spark, config.Data(series=[{"id": "V"}], price_column="close", **settings), prices, macro, str(tmp_path))
+        return spark.read.parquet(f"{tmp_path}/features.parquet").orderBy("date").toPandas()
+
+    plain = built()
+    count = lambda df, c: int(df[c].notna().sum())
+    assert "avg_corr42d" in built(windows={"correlation": 42}).columns and "a_vol10d" in built(windows={"volatility_short": 10}).columns
+    more = built(min_periods={"volatility": 5, "correlation": 10}, trading_days_per_year=200, macro_max_staleness_days=1)
+    assert count(more, "a_vol21d") == count(plain, "a_vol21d") + 10 and count(more, "avg_corr63d") == count(plain, "avg_corr63d") + 20 and count(more, "v") < count(plain, "v")
+    assert more["a_vol21d"].iloc[-1] == pytest.approx(plain["a_vol21d"].iloc[-1] * (200 / 252) ** 0.5)
+    assert not (built(windows={"drawdown": 63})["a_dd"] == plain["a_dd"]).all()
+    assert not any("b_" in c and "corr" in c for c in built(correlation_exclude=["B"]).columns)
+    assert count(built(price_forward_fill=True), "b_ret") > count(plain, "b_ret") or count(plain, "b_ret") == count(plain, "a_ret")
+    with pytest.raises(ValueError, match="no data for W"):
+        cli.build(spark, config.Data(series=[{"id": "W"}], price_column="close"), prices, macro, str(tmp_path))
+    built_optional = config.Data(series=[{"id": "V"}, {"id": "W", "optional": True}], price_column="close")
+    cli.build(spark, built_optional, prices, macro, str(tmp_path))
+    with pytest.raises(KeyError, match="Z"):
+        cli.build(spark, config.Data(assets=[{"ticker": "Z"}], price_column="close"), prices, macro, str(tmp_path))
+    with pytest.raises(ValueError, match="missing columns: price"):
+        cli.build(spark, config.Data(), prices, macro, str(tmp_path))
+    with pytest.raises(KeyError, match="no_vol"):
+        ft.selected(spark.read.parquet(f"{tmp_path}/features.parquet"), ["A_ret", "no_vol"])
+
+
 def test_stream_of_events_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/events")

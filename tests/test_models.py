@@ -2,16 +2,22 @@
 
 import datetime as dt
 import random
+import sys
 
 import numpy as np
 import pytest
 
+from pyspark import cloudpickle
+
 from tideline.models import allocators as al
 from tideline.models import states as st
 from tideline.operators import backtest as bt
 from tideline.operators import labels as lb
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
+
+
 def chain(n=500, seed=0):
     rng = np.random.default_rng(seed)
     move = np.array([[0.97, 0.02, 0.01], [0.03, 0.94, 0.03], [0.02, 0.05, 0.93]])
@@ -39,6 +45,35 @@ def test_states_are_causal_and_ordered(method, how):
     assert (model.smoothed_states(x) == truth).mean() > 0.7
 
 
+@pytest.mark.parametrize("kind", ["diag", "spherical", "full", "tied"])
+def test_covariances_of_states(kind):
+    rng = np.random.default_rng(7)
+    half = [rng.multivariate_normal(m, c, 400) for m, c in (([0, 0], [[1, 0.8], [0.8, 1]]), ([4, 4], [[1, -0.6], [-0.6, 2]]))]
+    x = np.concatenate(half)
+    model = st.HiddenMarkov(2, restarts=2, covariance=kind).fit(x)
+    assert (model.filtered_states(x) == np.repeat([0, 1], 400)).mean() > 0.97
+    if kind == "full":
+        np.testing.assert_allclose(model.var, [np.cov(h.T, bias=True) for h in half], atol=0.15)
+        diag = st.HiddenMarkov(2, restarts=2)
+        flat = np.array([np.diag(v) for v in model.var])
+        want = diag.density(x, model.means, flat)
+        np.testing.assert_allclose(model.density(x, model.means, np.array([np.diag(v) for v in flat])), want)
+    if kind == "tied":
+        np.testing.assert_allclose(model.var[0], model.var[1])
+    if kind == "spherical":
+        np.testing.assert_allclose(model.var[:, 0], model.var[:, 1])
+    with pytest.raises(ValueError):
+        st.HiddenMarkov(covariance="round")
+
+
+def test_linkages_of_the_tree():
+    dist = np.abs(np.subtract.outer(p := np.array([0, 1, 2.1, 5.2, 3.4]), p))
+    assert al.leaf_order(dist) == [3, 4, 2, 0, 1] and al.leaf_order(dist, "complete") == [0, 1, 3, 2, 4] and al.leaf_order(dist, "average") == [3, 0, 1, 2, 4]
+    for linkage in ("single", "complete", "average"):
+        w = al.Allocator("hrp", (("linkage", linkage),)).weights(returns(250))
+        assert w.sum() == pytest.approx(1)
+
+
 def test_unfitted_and_unknown():
     with pytest.raises(RuntimeError):
         st.HiddenMarkov().filtered_proba(np.zeros((3, 2)))
@@ -73,6 +108,30 @@ def test_walk_forward(spark):
         lb.walk_forward(z.withColumn("z", z.z.cast("array<double>")).limit(399).unionAll(spark.createDataFrame([(days[0], None)], z.schema)), "jump")
 
 
+class Highest(st.Detector):
+    """A detector of a user's own: 1 over the mean of the days it was fitted on."""
+
+    def fit(self, x):
+        self.means = x.mean(0)
+        return self
+
+    def filtered_states(self, x):
+        return (x[:, 0] > self.means[0]).astype(int)
+
+
+def test_walk_forward_by_panel_with_own_detector(spark):
+    x, _ = chain(300)
+    days = [dt.date(2010, 1, 1) + dt.timedelta(k) for k in range(300)]
+    z = spark.createDataFrame([(p, d, (v * p).tolist()) for p in (1, -2) for d, v in zip(days[: 300 if p == 1 else 260], x, strict=False)], "panel int, date date, z array<double>")
+    rows = lb.walk_forward(z, Highest, 200, 40, by=("panel",)).collect()
+    got = {(r["panel"], r["date"]): r["regime"] for r in rows}
+    assert {r["method"] for r in rows} == {"Highest"} and len(rows) == 160
+    for p, n in ((1, 300), (-2, 260)):
+        for start in range(200, n, 40):
+            for t in range(start, min(start + 40, n)):
+                assert got[p, days[t]] == int(x[t, 0] * p > (x[:start, 0] * p).mean())
+
+
 def returns(n=800, k=5, seed=0, sd=0.01):
     return np.random.default_rng(seed).normal(0.0003, sd, (n, k))
 
@@ -114,19 +173,58 @@ def test_mean_variance_meets_the_optimality_conditions():
     assert np.ptp(slope[inside]) < 1e-5 and (slope[~inside] <= slope[inside].max() + 1e-5).all()
 
 
-def test_closed_form_schedule_equals_the_rule(spark):
+def rule(labels, lookback, every, on_change=True):
+    """Rebalancing rows by the rule, row by row."""
+    out, last, label = [], None, None
+    for t, r in enumerate(labels):
+        if t + 1 >= lookback and r is not None and (last is None or t - last >= every or on_change and r != label):
+            out.append(t)
+            last, label = t, r
+    return out
+
+
+@pytest.mark.parametrize("on_change", [True, False])
+def test_schedule_equals_the_rule_with_gaps_anywhere(spark, on_change):
     rng = random.Random(1)
     rows, want = [], set()
     for s in range(12):
         labels, now = [None] * rng.randrange(0, 40), 0
         while len(labels) < 200:
-            labels += [now] * rng.randrange(1, 60)
-            now = rng.choice([k for k in range(3) if k != now])
+            labels += [now] * rng.randrange(1, 60) + [None] * rng.choice([0, 0, 1, 7, 30])
+            now = rng.choice([0, 1, 2])
         days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(len(labels))]
         rows += [(f"s{s}", d, v) for d, v in zip(days, labels, strict=True)]
-        want |= {(f"s{s}", days[t]) for t in bt.schedule(labels, 50, 21)}
+        want |= {(f"s{s}", days[t]) for t in rule(labels, 50, 21, on_change)}
+    rows += [("none", dt.date(2020, 1, 1), None)]
     frame = spark.createDataFrame(rows, "strategy string, date date, regime int")
-    assert {(r["strategy"], r["date"]) for r in bt.rebalance_days(frame, 50, 21).collect()} == want
+    assert {(r["strategy"], r["date"]) for r in bt.rebalance_days(frame, 50, 21, on_change).collect()} == want
+
+
+class Momentum:
+    """An allocator of a user's own: all in the asset that rose most, half of it if it is held already."""
+
+    def weights(self, window, before=None):
+        w = np.eye(window.shape[1])[window.sum(0).argmax()]
+        return w if before is None else (w + before) / 2
+
+
+def test_own_allocators_and_choices(spark):
+    r = returns(200, 2, 9)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(200)]
+    long = spark.createDataFrame([(d, a, float(v)) for d, row in zip(days, r, strict=True) for a, v in zip("AB", row, strict=True)], "date date, symbol string, simple double")
+    labels = spark.createDataFrame([(d, None if k % 17 == 3 else k // 90) for k, d in enumerate(days)], "date date, regime int")
+    pick = lambda label: Momentum() if label == 1 else al.Allocator("equal_weight")
+    how = {"own": Momentum(), "choice": pick, "dict": {0: al.Allocator("equal_weight"), 1: Momentum()}}
+    got = {(x["strategy"], x["date"], x["asset"]): x["w"] for x in bt.allocate(long, ["A", "B"], how, labels, 60, 21).collect()}
+    for name, seen, choose in (("own", [0] * 200, lambda k: Momentum()), ("choice", [None if k % 17 == 3 else k // 90 for k in range(200)], pick), ("dict", [None if k % 17 == 3 else k // 90 for k in range(200)], pick)):
+        now, at = None, set(rule(seen, 60, 21))
+        for t in range(59, 200):
+            if t in at:
+                now = choose(seen[t]).weights(r[t - 59 : t + 1], now)
+            if now is not None:
+                assert [got[name, days[t], a] for a in "AB"] == pytest.approx(now), (name, t)
+    blind = bt.allocate(long, ["A", "B"], {"c": lambda label: al.Allocator("equal_weight" if label is None else "hrp")}, None, 60, 21)
+    assert {x["w"] for x in blind.collect()} == {0.5} and blind.count() == 282
 
 
 def test_allocation_switches_and_is_causal(spark):

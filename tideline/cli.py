@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import re
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import config, report
@@ -16,22 +19,62 @@ from .operators.calendar import trading_days
 from .session import get_session
 from .sources.files import read_parquet, write_parquet
 
-DETECTION_COLUMNS = ("vol21", "vol63", "fall", "avg_corr")
 
+def checked_series(macro, data: config.Data, log):
+    """macro's rows of the configured series; ValueError for a required one without values, a warning for an optional one."""
+    there = {r[0] for r in macro.where(F.col("series_id").isin([s.id for s in data.series]) & F.col("value").isNotNull()).select("series_id").distinct().collect()}
+    missing = [s for s in data.required_series if s not in there]
+    if missing:
+        raise ValueError(f"no data for {', '.join(missing)}")
+    for s in data.series:
+        if s.id not in there:
+            log.warning("no data for optional series %s", s.id)
+    return macro.where(F.col("series_id").isin(sorted(there)))
 
-def build(spark, data: config.Data, prices, macro, out: str) -> None:
+
+def priced(prices, column: str):
+    """prices with the configured column as price; a table that has price already stays as it is."""
+    names = {c.lower(): c for c in prices.columns}
+    return prices.withColumnRenamed(names[column.lower()], "price") if column.lower() in names and "price" not in names else prices
+
+
+def stress_frame(spark, windows: dict[str, tuple[dt.date, dt.date]]):
+    """name, start, end of settings' windows."""
+    return spark.createDataFrame([(n, *days) for n, days in windows.items()], "name string, start date, end date")
+
+
+def symbols(df, wanted: list[str] = ()) -> list[str]:
+    """The wanted symbols, or all; KeyError that names wanted ones that aren't there."""
+    there = [r[0] for r in df.select("symbol").distinct().orderBy("symbol").collect()]
+    missing = [s for s in wanted if s not in there]
+    if missing:
+        raise KeyError(f"no prices for {', '.join(missing)}")
+    return list(wanted) or there
+
+
+def build(spark, data: config.Data, prices, macro, out: str, log=None) -> None:
     """Validate, align, compute features; writes features, prices, the dictionary and the QA report."""
+    prices = priced(prices, data.price_column)
     checks = pn.validate(prices)
-    bad = [r["symbol"] for r in checks.where("NOT is_valid").select("symbol").collect()]
+    assets = symbols(prices, data.tickers)
+    prices = prices.where(F.col("symbol").isin(assets))
+    bad = [r["symbol"] for r in checks.where(F.col("symbol").isin(assets) & ~F.col("is_valid")).select("symbol").collect()]
     if bad:
         raise ValueError(f"invalid prices: {', '.join(bad)}")
     start, end = pn.checked_coverage(prices)
     calendar = trading_days(spark, data.exchange, data.start or start, data.end or end)
-    panel = pn.align(prices, calendar).persist()
-    filled = pn.align(macro, calendar, "series_id", "value", data.macro_max_staleness_days) if macro is not None else None
-    assets = data.tickers or [r[0] for r in panel.select("symbol").distinct().orderBy("symbol").collect()]
+    unbounded = 1 << 20  # days that a carried price may be old
+    panel = pn.align(prices, calendar, fill=unbounded if data.price_forward_fill else 0).persist()
+    filled = None
+    if macro is not None:
+        pn.checked_columns(macro, "series_id", "value")
+        macro = checked_series(macro, data, log or report.logger()) if data.series else macro
+        filled = pn.align(macro, calendar, "series_id", "value", data.macro_max_staleness_days)
     series = [(s.id, s.id.lower()) for s in data.series]
-    wide = ft.feature_matrix(panel, filled, assets, series, tuple(data.correlation_exclude), data.windows.volatility_short, data.windows.volatility_long)
+    if filled is not None and not series:
+        series = [(r[0], r[0].lower()) for r in macro.select("series_id").distinct().orderBy("series_id").collect()]
+    w, least = data.windows, data.min_periods
+    wide = ft.feature_matrix(panel, filled, assets, series, tuple(data.correlation_exclude), w.volatility_short, w.volatility_long, w.correlation, w.drawdown, least.volatility, least.correlation, data.trading_days_per_year)
     wide = pn.trim_to_complete(wide, [f"{a.lower()}_ret" for a in assets]).orderBy("date")
     write_parquet(wide, f"{out}/features.parquet")
     write_parquet(ft.returns(panel).select("date", "symbol", "price", "ret", "simple"), f"{out}/prices.parquet")
@@ -40,53 +83,77 @@ def build(spark, data: config.Data, prices, macro, out: str) -> None:
     panel.unpersist()
 
 
-def detect(spark, conf: config.Detection, long, methods: list[str], out: str) -> None:
-    """Labels of each method, by walk-forward refits, and their report. long: date, symbol, price."""
-    feats = ft.long_features(long)
-    assets = [r[0] for r in long.select("symbol").distinct().orderBy("symbol").collect()]
-    day = feats.groupBy("date").agg(F.avg("vol21").alias("vol21"), F.avg("vol63").alias("vol63"), (-F.avg("dd")).alias("fall"))
-    day = day.join(ft.average_correlation(ft.pair_correlations(feats, assets)), "date", "left").withColumn("panel_id", F.lit(1))
-    w = ft.so_far("panel_id")
-    z = day.select("date", *(ft.expanding_zscore(F.col(c), w, conf.zscore_min_periods).alias(c) for c in DETECTION_COLUMNS)).na.drop()
-    z = z.select("date", F.array(*DETECTION_COLUMNS).alias("z"))
+def market_features(wide) -> tuple:
+    """(date and four features of the whole market, their names) from a feature matrix: mean short and long volatility, mean fall, mean correlation."""
+    vols = [c for c in wide.columns if re.search(r"_vol\d+d$", c)]
+    spans = sorted({int(re.search(r"_vol(\d+)d$", c)[1]) for c in vols})
+    corr = [c for c in wide.columns if re.match(r"avg_corr\d+d$", c)]
+    mean = lambda cols: F.try_divide(sum(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cols), sum(F.col(f"`{c}`").isNotNull().cast("int") for c in cols))
+    out = {f"vol{n}": mean([c for c in vols if c.endswith(f"_vol{n}d")]) for n in spans}
+    out |= {"fall": -mean([c for c in wide.columns if c.endswith("_dd")]), "avg_corr": F.col(corr[0])}
+    return wide.select("date", *(v.alias(k) for k, v in out.items())), list(out)
+
+
+def detect(spark, conf: config.Detection, wide, methods: list[str], out: str) -> None:
+    """Labels of each method, by walk-forward refits over features of the matrix wide, and their report."""
+    chosen, columns = (ft.selected(wide, conf.features), conf.features) if conf.features else market_features(wide)
+    z = ft.standardised(chosen, columns, conf.zscore_min_periods).persist()
     for method in methods:
         write_parquet(lb.walk_forward(z, method, conf.min_train, conf.refit_every, **conf.settings(method)), f"{out}/regimes_{method}.parquet")
+    z.unpersist()
     labels = spark.read.parquet(*(f"{out}/regimes_{m}.parquet" for m in methods))
     parts = {"Days by state": lb.distribution(labels, conf.n_states), "Persistence": lb.persistence(labels)}
+    if conf.stress_windows:
+        parts["Share of the worst state in windows of stress"] = lb.crisis_share(labels, stress_frame(spark, conf.stress_windows), conf.n_states, every=True)
     if len(methods) > 1:
         parts["Agreement"] = lb.agreement(labels)
-    report.write_report(f"{out}/detection.md", "Detection", parts)
+    report.write_report(f"{out}/detection.md", "Detection", parts, {k: [c for c in ("method", "regime", "window", "a", "b") if c in df.columns] for k, df in parts.items()})
 
 
 def allocate(spark, conf: config.Allocation, prices, methods: list[str], baselines: list[str], out: str) -> None:
-    """Weights of switching strategies (one for each method of labels) and of static ones."""
-    assets = [r[0] for r in prices.select("symbol").distinct().orderBy("symbol").collect()]
+    """Weights of switching strategies (one for each method of labels) and of static ones, and their report."""
+    assets = symbols(prices, conf.assets)
     simple = prices.select("date", "symbol", F.expm1("ret").alias("simple"))
-    made = []
+    how = conf.lookback, conf.rebalance_every, conf.on_regime_change
+    made, labels = [], {m: read_parquet(spark, f"{out}/regimes_{m}.parquet").select("date", "regime") for m in methods}
     for m in methods:
-        labels = read_parquet(spark, f"{out}/regimes_{m}.parquet").select("date", "regime")
-        made.append(bt.allocate(simple, assets, {f"regime_{m}": conf.by_regime()}, labels, conf.lookback, conf.rebalance_every))
+        made.append(bt.allocate(simple, assets, {f"regime_{m}": conf.by_regime()}, labels[m], *how))
     if baselines:
-        made.append(bt.allocate(simple, assets, {f"static_{b}": conf.allocator(b) for b in baselines}, None, conf.lookback, conf.rebalance_every))
+        made.append(bt.allocate(simple, assets, {f"static_{b}": conf.allocator(b) for b in baselines}, None, *how))
     whole = made[0]
     for df in made[1:]:
         whole = whole.unionByName(df)
     write_parquet(whole, f"{out}/weights.parquet", by=["strategy"])
+    weights = read_parquet(spark, f"{out}/weights.parquet")
+    parts = {"Turnover": bt.turnover(weights), "Mean weights": bt.mean_weights(weights)}
+    for m in methods:
+        parts[f"Mean weights of regime_{m} by state"] = bt.mean_weights(weights.where(F.col("strategy") == f"regime_{m}"), labels[m]).where("regime IS NOT NULL")
+    by = ["strategy", "asset"]
+    report.write_report(f"{out}/allocation.md", "Allocation", parts, {"Turnover": by[:1]} | {k: by + (["regime"] if "state" in k else []) for k in parts if k != "Turnover"})
 
 
 def backtest(spark, conf: config.Backtest, prices, out: str) -> None:
-    """Net results of all weights on their common window, significance, and the cost sweep."""
+    """Net results of all weights on their own and their common window, windows of stress, significance, and the cost sweep."""
     weights = read_parquet(spark, f"{out}/weights.parquet")
-    rets = prices.select("date", F.col("symbol").alias("asset"), F.expm1("ret").alias("r"))
-    run = bt.common_window(bt.run_backtest(weights, rets, conf.cost_bps)).persist()
+    assets = symbols(prices, conf.assets)
+    weights = weights.where(F.col("asset").isin(assets))
+    rets = prices.where(F.col("symbol").isin(assets)).select("date", F.col("symbol").alias("asset"), F.expm1("ret").alias("r"))
+    cash = rets.where(F.col("asset") == conf.rf_asset).select("date", F.col("r").alias("rf")) if conf.rf_asset in assets else None
+    own = bt.run_backtest(weights, rets, conf.cost_bps).persist()
+    run = bt.common_window(own).persist()
     write_parquet(run, f"{out}/backtest.parquet")
-    from pyspark.sql import Window
-
     idx = run.withColumn("idx", F.row_number().over(Window.partitionBy("strategy").orderBy("date")) - 1).select("idx", "strategy", "net")
     grid = weights.withColumn("cost_bps", F.explode(F.array(*map(F.lit, conf.cost_grid))))
-    sweep = bt.metrics(bt.run_backtest(grid, rets, F.col("cost_bps"), ("cost_bps",)), ("strategy", "cost_bps")).select("strategy", "cost_bps", "sharpe")
-    report.write_report(f"{out}/backtest.md", "Backtest", {"Metrics": bt.metrics(run), "Deflated Sharpe": bt.deflated_sharpe(run), "Overfitting": bt.pbo(idx, conf.n_blocks), "Costs": sweep})
+    swept = bt.run_backtest(grid, rets, F.col("cost_bps"), ("cost_bps",))
+    sweep = bt.metrics(swept, ("strategy", "cost_bps"), cash).select("strategy", "cost_bps", "sharpe")
+    parts = {"Metrics": bt.metrics(run, risk_free=cash), "Metrics of own windows": bt.metrics(own, risk_free=cash), "Deflated Sharpe": bt.deflated_sharpe(run, cash)}
+    if conf.stress_windows:
+        parts["Windows of stress"] = bt.stress_returns(run, stress_frame(spark, conf.stress_windows))
+    parts |= {"Overfitting": bt.pbo(idx, conf.n_blocks), "Costs": sweep}
+    order = {k: ["strategy"] for k in ("Metrics", "Metrics of own windows", "Deflated Sharpe")} | {"Windows of stress": ["name", "strategy"], "Costs": ["strategy", "cost_bps"]}
+    report.write_report(f"{out}/backtest.md", "Backtest", parts, order)
     run.unpersist()
+    own.unpersist()
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -101,19 +168,19 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--cost-bps", type=float)
     parser.add_argument("--verbose", action="store_true")
     a = parser.parse_args(argv)
-    log, spark = report.logger(level="DEBUG" if a.verbose else "INFO"), get_session()
     kind = {"build": config.Data, "detect": config.Detection, "allocate": config.Allocation, "backtest": config.Backtest}[a.phase]
     conf = kind.from_yaml(a.config) if a.config else kind()
+    log, spark = report.logger(level="DEBUG" if a.verbose else getattr(conf, "log_level", "INFO")), get_session()
     methods = ["hmm", "jump", "changepoint"] if a.method == "all" else [a.method]
     with report.step(log, a.phase, spark):
         if a.phase == "build":
-            build(spark, conf, read_parquet(spark, a.prices), read_parquet(spark, a.macro) if a.macro else None, a.out)
+            build(spark, conf, read_parquet(spark, a.prices), read_parquet(spark, a.macro) if a.macro else None, a.out, log)
             return
         prices = read_parquet(spark, f"{a.out}/prices.parquet")
         if a.phase == "detect":
-            detect(spark, conf, prices.select("date", "symbol", "price"), methods, a.out)
+            detect(spark, conf, read_parquet(spark, f"{a.out}/features.parquet"), methods, a.out)
         elif a.phase == "allocate":
-            allocate(spark, conf, prices, methods, [] if a.no_baselines else ["equal_weight", "mean_variance", "risk_parity", "hrp", "min_cvar"], a.out)
+            allocate(spark, conf, prices, methods, [] if a.no_baselines else conf.baselines, a.out)
         else:
             backtest(spark, conf.model_copy(update={"cost_bps": a.cost_bps}) if a.cost_bps is not None else conf, prices, a.out)
 

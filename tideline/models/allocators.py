@@ -157,8 +157,9 @@ def min_tail_loss(r, prev=None, beta=0.95, w_max=1.0, **_):
     return w if np.isfinite(w).all() else equal_weight(r)
 
 
-def leaf_order(dist: np.ndarray) -> list[int]:
-    """Leaves of the single-linkage tree, smaller cluster number first."""
+def leaf_order(dist: np.ndarray, linkage: str = "single") -> list[int]:
+    """Leaves of the tree of clusters, smaller cluster number first. Clusters lie as far apart as their nearest (single), farthest (complete) or mean (average) pair."""
+    join = {"single": lambda a, b, m, n: min(a, b), "complete": lambda a, b, m, n: max(a, b), "average": lambda a, b, m, n: (m * a + n * b) / (m + n)}[linkage]
     clusters = {i: [i] for i in range(len(dist))}
     gap = {(i, j): dist[i, j] for i in clusters for j in clusters if i < j}
     new = len(dist)
@@ -166,20 +167,20 @@ def leaf_order(dist: np.ndarray) -> list[int]:
         i, j = min(gap, key=lambda p: (gap[p], p))
         rest = [q for q in clusters if q not in (i, j)]
         for q in rest:
-            gap[q, new] = min(gap[min(i, q), max(i, q)], gap[min(j, q), max(j, q)])
+            gap[q, new] = join(gap[min(i, q), max(i, q)], gap[min(j, q), max(j, q)], len(clusters[i]), len(clusters[j]))
         gap = {p: g for p, g in gap.items() if i not in p and j not in p}
         clusters[new] = clusters.pop(i) + clusters.pop(j)
         new += 1
     return next(iter(clusters.values()))
 
 
-def hierarchical_risk_parity(r, prev=None, **_):
+def hierarchical_risk_parity(r, prev=None, linkage="single", **_):
     """Weights by halving the leaf order, each half in inverse proportion to its inverse-variance portfolio's variance."""
     cov = shrunk_covariance(r, annual=False)
     n = len(cov)
     if n == 1:
         return np.ones(1)
-    order, w = leaf_order(np.sqrt(np.clip((1 - to_correlation(cov)) / 2, 0, None))), np.ones(n)
+    order, w = leaf_order(np.sqrt(np.clip((1 - to_correlation(cov)) / 2, 0, None)), linkage), np.ones(n)
 
     def variance(items):
         part = cov[np.ix_(items, items)]

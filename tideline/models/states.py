@@ -59,19 +59,40 @@ def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass
 class HiddenMarkov(Detector):
-    """Gaussian emissions with diagonal covariance, fitted by scaled forward-backward EM from several starts."""
+    """Gaussian emissions, fitted by scaled forward-backward EM from several starts. covariance: diag, spherical (one variance for a state), full (a matrix for each state) or tied (one matrix for all)."""
 
+    covariance: str = "diag"
     rounds: int = 100
     tol: float = 1e-4
     restarts: int = 8
     floor: float = 1e-3
 
+    def __post_init__(self):
+        if self.covariance not in ("diag", "spherical", "full", "tied"):
+            raise ValueError(f"unknown covariance {self.covariance}; known: diag, spherical, full, tied")
+
     def density(self, x: np.ndarray, means: np.ndarray, var: np.ndarray) -> np.ndarray:
-        return -0.5 * (np.log(2 * np.pi * var).sum(1) + ((x[:, None] - means) ** 2 / var).sum(2))
+        """Log densities of rows by state; var: variances by state, or matrices by state."""
+        gap = x[:, None] - means
+        if var.ndim == 2:
+            return -0.5 * (np.log(2 * np.pi * var).sum(1) + (gap**2 / var).sum(2))
+        return -0.5 * (x.shape[1] * np.log(2 * np.pi) + np.linalg.slogdet(var)[1] + np.einsum("tki,kij,tkj->tk", gap, np.linalg.inv(var), gap))
+
+    def spread(self, x: np.ndarray, means: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """Variances or matrices of the states, given each row's share in them."""
+        k, d = means.shape
+        weight = np.maximum(gamma.sum(0), 1e-10)
+        if self.covariance in ("diag", "spherical"):
+            var = np.maximum(gamma.T @ x**2 / weight[:, None] - means**2, 0)
+            return (np.broadcast_to(var.mean(1, keepdims=True), (k, d)) if self.covariance == "spherical" else var) + self.floor
+        gap = x[:, None] - means
+        moment = np.einsum("tk,tki,tkj->kij", gamma, gap, gap, optimize=True)
+        var = np.broadcast_to(moment.sum(0) / weight.sum(), (k, d, d)) if self.covariance == "tied" else moment / weight[:, None, None]
+        return var + self.floor * np.eye(d)
 
     def one_fit(self, x: np.ndarray, seed: int):
         k = self.n_states
-        means, var = kmeans(x, k, seed), np.tile(x.var(0) + self.floor, (k, 1))
+        means, var = kmeans(x, k, seed), self.spread(x, np.tile(x.mean(0), (k, 1)), np.full((len(x), k), 1 / k))
         start, move, last = np.full(k, 1 / k), np.full((k, k), 1 / k), -np.inf
         for _ in range(self.rounds):
             logb = self.density(x, means, var)
@@ -95,7 +116,7 @@ class HiddenMarkov(Detector):
             move /= move.sum(1, keepdims=True)
             weight = np.maximum(gamma.sum(0), 1e-10)[:, None]
             means = gamma.T @ x / weight
-            var = np.maximum(gamma.T @ x**2 / weight - means**2, 0) + self.floor
+            var = self.spread(x, means, gamma)
             if abs(likelihood - last) < self.tol:
                 break
             last = likelihood

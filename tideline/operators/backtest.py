@@ -10,93 +10,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_cdf
-from ..models.allocators import Allocator
 
 YEAR = 252
 
 
 def rebalance_days(days: DataFrame, lookback: int = 252, every: int = 21, on_change: bool = True) -> DataFrame:
-    """Days (strategy, date, regime) on which weights are set: warm and labelled, and first, every so many rows, or at another label than at the last.
+    """Days (strategy, date, regime, i) on which weights are set: warm (their row number i, from 1, reaches lookback) and labelled, and first, every so many rows since the last, or at another label than at the last.
 
-    In closed form: in each run of a label, counted from its first eligible row, every so-many-th row. Holds where labels
-    have no gaps inside; with gaps the rule is applied row by row (see schedule()).
+    Each depends on the last one, so a fold over a strategy's days finds them; days without a label may lie anywhere.
     """
-    w = Window.partitionBy("strategy").orderBy("date")
-    rows = days.withColumn("i", F.row_number().over(w)).where((F.col("i") >= lookback) & F.col("regime").isNotNull())
-    changed = F.when((F.col("regime") == F.lag("regime").over(w)) if on_change else F.lag("i").over(w).isNotNull(), 0).otherwise(1)
-    marked = rows.withColumn("change", changed).withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min("i").over(Window.partitionBy("strategy", "run"))
-    return marked.withColumn("at", F.col("i") - first).where(F.col("at") % every == 0).select("strategy", "date", "regime", "i")
-
-
-def schedule(regimes: list, lookback: int, every: int, on_change: bool = True) -> list[int]:
-    """The same rule row by row, for labels with gaps: positions of rebalancing rows."""
-    out, last, label = [], None, None
-    for t, r in enumerate(regimes):
-        if t + 1 < lookback or r is None:
-            continue
-        if last is None or t - last >= every or on_change and r != label:
-            out.append(t)
-            last, label = t, r
-    return out
-
-
-def allocate(returns: DataFrame, assets: list[str], strategies: dict[str, dict[int, Allocator] | Allocator], labels: DataFrame | None = None, lookback: int = 252, every: int = 21) -> DataFrame:
+    rows = days.withColumn("i", F.row_number().over(Window.partitionBy("strategy").orderBy("date"))).where((F.col("i") >= lookback) & F.col("regime").isNotNull())
+    kind = "array<struct<i:int,date:date,regime:int>>"
+    packed = rows.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("i", "date", F.col("regime").cast("int").alias("regime")))).cast(kind).alias("d"))
+
+    def fold(done, day):
+        last = F.try_element_at(done, F.lit(-1))
+        due = last.isNull() | (day["i"] - last["i"] >= every)
+        return F.when(due | (day["regime"] != last["regime"]) if on_change else due, F.concat(done, F.array(day))).otherwise(done)
+
+    return packed.select("strategy", F.inline(F.aggregate("d", F.array().cast(kind), fold))).select("strategy", "date", "regime", "i")
+
+
+def allocate(returns: DataFrame, assets: list[str], strategies: dict, labels: DataFrame | None = None, lookback: int = 252, every: int = 21, on_change: bool = True) -> DataFrame:
     """strategy, date, asset, w of every day from the first rebalancing on.
 
-    returns: date, symbol, simple; labels: date, regime (for strategies with an allocator for each regime; others ignore it).
-    Rebalancings are groups of their own, each with its window of returns, so all of all strategies run in parallel,
-    unless a strategy's turnover penalty makes each depend on the one before; then the strategy is one task.
+    returns: date, symbol, simple; labels: date, regime. strategies: for each name an allocator (blind to labels), a dict from
+    label to allocator (labels that it lacks take that of its smallest), or a function from the label (None without labels) to an allocator.
+    An allocator has weights(window of returns, weights before or None). Rebalancings are groups of their own, each with its window
+    of returns, so all of all strategies run in parallel, unless each depends on the one before: then the strategy is one task. That is so
+    for a turnover penalty, for functions, and for own allocators that don't say depends_on_previous = False.
     """
     day = returns.groupBy("date").agg(*(F.max(F.when(F.col("symbol") == s, F.col("simple"))).alias(f"_{k}") for k, s in enumerate(assets))).na.drop()
-    day = day.select("date", F.array(*(f"_{k}" for k in range(len(assets)))).alias("r"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
-    names = day.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
-    switching = [n for n, a in strategies.items() if isinstance(a, dict)]
+    day = day.select("date", F.array(*(f"_{k}" for k in range(len(assets)))).alias("r"), F.row_number().over(Window.orderBy("date")).alias("i"))
+    names = day.select("date", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
+    blind = [n for n, a in strategies.items() if hasattr(a, "weights") or labels is None]
     if labels is not None:
         names = names.join(labels.select("date", F.col("regime").alias("label")), "date", "left")
     else:
         names = names.withColumn("label", F.lit(None).cast("int"))
-    names = names.withColumn("regime", F.when(F.col("strategy").isin(switching), F.col("label")).otherwise(F.lit(0)))
+    names = names.withColumn("regime", F.when(F.col("strategy").isin(blind), F.lit(0)).otherwise(F.col("label")))
+    labelled = labels is not None
 
-    def rows_of(name, date, w):
-        return [(name, date, a, float(x)) for a, x in zip(assets, w, strict=True)]
-
-    def allocator(name, regime):
+    def solve(name, regime, window, before=None):
         chosen = strategies[name]
-        return chosen.get(regime, next(iter(chosen.values()))) if isinstance(chosen, dict) else chosen
-
-    def regimes_of(pdf):
-        return [None if x is None or x != x else int(x) for x in pdf["regime"].tolist()]
+        if isinstance(chosen, dict):
+            chosen = chosen.get(regime, chosen[min(chosen)])
+        elif not hasattr(chosen, "weights"):
+            chosen = chosen(regime if labelled else None)
+        return chosen.weights(window, before)
 
-    def due(pdf):
-        pdf = pdf.sort_values("date", ignore_index=True)
-        return pdf.loc[schedule(regimes_of(pdf), lookback, every), ["strategy", "date", "i", "regime"]]
+    def rows_of(name, date, w):
+        return [(name, date, a, float(x)) for a, x in zip(assets, w, strict=True)]
 
     def solve_one(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("j")
-        name, at = pdf["strategy"].iloc[0], pdf["date"].iloc[0]
-        return pd.DataFrame(rows_of(name, at, allocator(name, int(pdf["regime"].iloc[0])).weights(np.array(pdf["r"].tolist(), dtype=float))), columns=["strategy", "date", "asset", "w"])
+        name, at, regime = pdf["strategy"].iloc[0], pdf["date"].iloc[0], int(pdf["regime"].iloc[0])
+        return pd.DataFrame(rows_of(name, at, solve(name, regime, np.array(pdf["r"].tolist(), dtype=float))), columns=["strategy", "date", "asset", "w"])
 
     def solve_all(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("date", ignore_index=True)
-        name, r, regimes, current, rows = pdf["strategy"].iloc[0], np.array(pdf["r"].tolist(), dtype=float), regimes_of(pdf), None, []
-        for t in schedule(regimes, lookback, every):
-            current = allocator(name, regimes[t]).weights(r[t + 1 - lookback : t + 1], current)
+        pdf = pdf.sort_values("i", ignore_index=True)
+        name, r, current, rows = pdf["strategy"].iloc[0], np.array(pdf["r"].tolist(), dtype=float), None, []
+        for t in pdf.index[pdf["due"].notna()]:
+            current = solve(name, int(pdf["due"].iloc[t]), r[t + 1 - lookback : t + 1], current)
             rows += rows_of(name, pdf["date"].iloc[t], current)
         return pd.DataFrame(rows, columns=["strategy", "date", "asset", "w"])
 
     schema = "strategy string, date date, asset string, w double"
-    serial = [n for n, a in strategies.items() if any(x.depends_on_previous for x in (a.values() if isinstance(a, dict) else [a]))]
-    free = names.where(~F.col("strategy").isin(serial)) if serial else names
-    set_days = free.select("strategy", "date", "i", "regime").groupBy("strategy").applyInPandas(due, "strategy string, date date, i int, regime int")
-    windows = set_days.withColumn("j", F.explode(F.sequence(F.col("i") - lookback + 1, F.col("i")))).join(day.select(F.col("i").alias("j"), "r"), "j")
+    free_of = lambda a: not getattr(a, "depends_on_previous", True)
+    serial = [n for n, a in strategies.items() if not all(map(free_of, a.values() if isinstance(a, dict) else [a]))]
+    due = rebalance_days(names, lookback, every, on_change)
+    free = due.where(~F.col("strategy").isin(serial)) if serial else due
+    windows = free.withColumn("j", F.explode(F.sequence(F.col("i") - lookback + 1, F.col("i")))).join(day.select(F.col("i").alias("j"), "r"), "j")
     set_ = windows.groupBy("strategy", "i").applyInPandas(solve_one, schema)
     if serial:
-        set_ = set_.unionAll(names.where(F.col("strategy").isin(serial)).groupBy("strategy").applyInPandas(solve_all, schema))
+        whole = names.select("strategy", "date").where(F.col("strategy").isin(serial)).join(day, "date").join(due.select("strategy", "date", F.col("regime").alias("due")), ["strategy", "date"], "left")
+        set_ = set_.unionAll(whole.groupBy("strategy").applyInPandas(solve_all, schema))
     return hold(set_, names.select("strategy", "date"), assets)
 
 
@@ -144,6 +136,31 @@ def metrics(bt: DataFrame, key: tuple[str, ...] = ("strategy",), risk_free: Data
     ).withColumn("calmar", F.when(F.col("max_drawdown") > 0, F.col("ann_return") / F.col("max_drawdown")))
 
 
+def stress_returns(bt: DataFrame, windows: DataFrame, key: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """name, key, total return, largest drawdown and days of each window (name, start, end; both ends inside). Equity starts anew in each."""
+    inside = bt.join(F.broadcast(windows), F.col("date").between(F.col("start"), F.col("end")))
+    w = Window.partitionBy("name", *key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    eq = inside.withColumn("eq", F.product(1 + F.col("net")).over(w))
+    eq = eq.withColumn("dd", F.try_divide(F.max("eq").over(w) - F.col("eq"), F.max("eq").over(w)))
+    return eq.groupBy("name", *key).agg((F.product(1 + F.col("net")) - 1).alias("total_return"), F.max("dd").alias("max_drawdown"), F.count(F.lit(1)).alias("days"))
+
+
+def mean_weights(weights: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Mean weight and days by strategy and asset; with labels (date, regime) only over their days, and also by regime."""
+    means = (F.avg("w").alias("mean_w"), F.count(F.lit(1)).alias("days"))
+    if labels is None:
+        return weights.groupBy("strategy", "asset").agg(*means)
+    return weights.join(labels, "date").groupingSets([["strategy", "asset"], ["strategy", "asset", "regime"]], "strategy", "asset", "regime").agg(*means)
+
+
+def turnover(weights: DataFrame) -> DataFrame:
+    """Rebalancings and turnover a year (of calendar days) of each strategy; turnover is half the sum of changes."""
+    w = Window.partitionBy("strategy", "asset").orderBy("date")
+    day = weights.withColumn("dw", F.abs(F.col("w") - F.lag("w").over(w))).groupBy("strategy", "date").agg((F.sum("dw") / 2).alias("t"))
+    years = F.datediff(F.max("date"), F.min("date")) / 365.25
+    return day.groupBy("strategy").agg(F.count_if(F.col("t") > 1e-9).alias("rebalances"), F.try_divide(F.sum("t"), years).alias("annual_turnover"))
+
+
 def common_window(bt: DataFrame) -> DataFrame:
     """Days on which every strategy has a row."""
     n = bt.agg(F.countDistinct("strategy").alias("n"))

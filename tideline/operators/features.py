@@ -79,16 +79,32 @@ def average_correlation(corr: DataFrame) -> DataFrame:
     return corr.groupBy("date").agg(F.avg("corr").alias("avg_corr"))
 
 
+def selected(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """date and the named columns, as doubles, in their order; KeyError that names the missing ones. Upper and lower case are alike."""
+    known = {c.lower(): c for c in wide.columns}
+    missing = [c for c in columns if c.lower() not in known]
+    if missing:
+        raise KeyError(f"features not in the matrix: {', '.join(missing)}")
+    return wide.select("date", *(F.col(f"`{known[c.lower()]}`").cast("double").alias(c) for c in columns))
+
+
+def standardised(wide: DataFrame, columns: list[str], least: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, date and z: the named columns' z-scores so far as an array; days on which one is missing drop out."""
+    w = so_far(*by) if by else Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    z = wide.select(*by, "date", *(expanding_zscore(F.col(f"`{c}`"), w, least).alias(c) for c in columns)).na.drop(subset=columns)
+    return z.select(*by, "date", F.array(*(F.col(f"`{c}`") for c in columns)).alias("z"))
+
+
 def expanding_zscore(x: Column, over, least: int = 60) -> Column:
     """(x - mean) / sample deviation of all values so far, from least values on; null without variance."""
     return at_least(least, x, over, F.try_divide(x - F.avg(x).over(over), F.stddev_samp(x).over(over)))
 
 
-def long_features(panel: DataFrame, short: int = 21, long: int = 63, least: int = 15, peak: int = 252) -> DataFrame:
+def long_features(panel: DataFrame, short: int = 21, long: int = 63, least: int = 15, peak: int = 252, annual: int = YEAR) -> DataFrame:
     """panel with ret, simple, vol of both windows and dd, all from one sort for each symbol."""
     rets = returns(panel)
     ret = F.col("ret")
-    return rets.withColumns({f"vol{short}": volatility(ret, trailing(short, "symbol"), least), f"vol{long}": volatility(ret, trailing(long, "symbol"), least), "dd": drawdown(F.col("price"), trailing(peak, "symbol"))})
+    return rets.withColumns({f"vol{short}": volatility(ret, trailing(short, "symbol"), least, annual), f"vol{long}": volatility(ret, trailing(long, "symbol"), least, annual), "dd": drawdown(F.col("price"), trailing(peak, "symbol"))})
 
 
 def wide(long: DataFrame, assets: list[str], values: dict[str, str]) -> DataFrame:
@@ -96,14 +112,14 @@ def wide(long: DataFrame, assets: list[str], values: dict[str, str]) -> DataFram
     return long.groupBy("date").agg(*(F.max(F.when(F.col("symbol") == s, F.col(c))).alias(f"{s.lower()}{suffix}") for c, suffix in values.items() for s in assets))
 
 
-def feature_matrix(panel: DataFrame, macro: DataFrame | None, assets: list[str], series: list[str] = (), exclude: tuple[str, ...] = (), short: int = 21, long: int = 63) -> DataFrame:
+def feature_matrix(panel: DataFrame, macro: DataFrame | None, assets: list[str], series: list[str] = (), exclude: tuple[str, ...] = (), short: int = 21, long: int = 63, corr_window: int = 63, peak: int = 252, least: int = 15, least_corr: int = 30, annual: int = YEAR) -> DataFrame:
     """All features, one row for each date: returns, volatilities, drawdowns, pair and average correlations, indicators."""
-    feats = long_features(panel, short, long)
+    feats = long_features(panel, short, long, least, peak, annual)
     out = wide(feats, assets, {"ret": "_ret", f"vol{short}": f"_vol{short}d", f"vol{long}": f"_vol{long}d", "dd": "_dd"})
-    corr = pair_correlations(feats, assets, long, 30, exclude)
+    corr = pair_correlations(feats, assets, corr_window, least_corr, exclude)
     kept = [s for s in assets if s not in exclude]
-    named = [F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("corr"))).alias(f"{a.lower()}_{b.lower()}_corr{long}d") for a, b in combinations(kept, 2)]
-    out = out.join(corr.groupBy("date").agg(*named, F.avg("corr").alias(f"avg_corr{long}d")), "date", "left")
+    named = [F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("corr"))).alias(f"{a.lower()}_{b.lower()}_corr{corr_window}d") for a, b in combinations(kept, 2)]
+    out = out.join(corr.groupBy("date").agg(*named, F.avg("corr").alias(f"avg_corr{corr_window}d")), "date", "left")
     if macro is not None:
         out = out.join(macro.groupBy("date").agg(*(F.max(F.when(F.col("series_id") == s, F.col("value"))).alias(n) for s, n in series)), "date", "left")
     return out

@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..models.states import make_detector
+from ..models.states import ChangePoints, Detector, make_detector
 
 
-def walk_forward(z: DataFrame, method: str, min_train: int = 252, refit_every: int = 63, **settings) -> DataFrame:
-    """method, date, regime: states of each day, as a model fitted on days before it sees them.
+def walk_forward(z: DataFrame, method: str | Callable[[], Detector], min_train: int = 252, refit_every: int = 63, by: tuple[str, ...] = (), name: str | None = None, **settings) -> DataFrame:
+    """by, method, date, regime: states of each day, as a model fitted on days before it sees them.
 
-    z: date, z (array of doubles). Refits are parallel: the series (days by a few features) goes along with each
-    refit's row, and each task fits one model and labels its own stretch. ValueError for nulls or a series that is too short.
+    z: by, date, z (array of doubles). method: a known model's name with its settings, or a function without arguments that makes
+    a Detector (name: what the column method says then). Each refit of each panel is a row of its own with the days it may see, so all
+    are parallel; a panel's days meet in one row. ValueError for nulls or a panel that is too short.
     """
-    spark = z.sparkSession
-    packed = z.agg(F.sort_array(F.collect_list(F.struct("date", "z"))).alias("s"), F.count_if(F.col("z").isNull() | F.exists("z", lambda x: x.isNull() | F.isnan(x))).alias("nulls")).first()
-    rows = packed["s"]
-    if packed["nulls"]:
+    known = isinstance(method, str)
+    title, make = (method, lambda: make_detector(method, **settings)) if known else (name or getattr(method, "__name__", type(method).__name__), method)
+    if known:
+        make()
+    null = F.col("z").isNull() | F.exists("z", lambda x: x.isNull() | F.isnan(x))
+    shape = z.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(null).alias("nulls")).agg(F.sum("nulls").alias("nulls"), F.min("n").alias("least"), F.sum(F.ceil((F.col("n") - min_train) / refit_every)).alias("refits")).first()
+    if shape["nulls"]:
         raise ValueError("the matrix has nulls")
-    if min_train >= len(rows):
+    if min_train >= (shape["least"] or 0):
         raise ValueError("not more rows than min_train")
-    dates, matrix = [r["date"] for r in rows], np.array([r["z"] for r in rows], dtype=float)
-    data = spark.sparkContext.broadcast((dates, matrix))
-    refits = [(r, min(r + refit_every, len(rows))) for r in range(min_train, len(rows), refit_every)]
+    packed = z.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("date", "z"))).alias("_s"))
+    packed = packed.select(*by, F.transform("_s", lambda r: r["date"]).alias("_days"), F.flatten(F.transform("_s", lambda r: r["z"])).alias("_x"))
+    n = F.size("_days")
+    refits = packed.withColumn("_start", F.explode(F.sequence(F.lit(min_train), n - 1, F.lit(refit_every)))).withColumn("_end", F.least(F.col("_start") + refit_every, n))
+    seen = F.slice("_x", F.lit(1), F.col("_end") * (F.size("_x") / n).cast("int"))
+    refits = refits.select(*by, "_start", "_end", F.slice("_days", F.col("_start") + 1, F.col("_end") - F.col("_start")).alias("_days"), seen.alias("_x"))
+    refits = refits.repartition(max(1, min(int(shape["refits"]), 2048), int(shape["refits"]) // 64))
 
     def label(batches):
         import pandas as pd
 
-        days, x = data.value
         for batch in batches:
-            for start, end in zip(batch["start"], batch["end"], strict=True):
-                model = make_detector(method, **settings).fit(x[:start])
-                states = model.filtered_states(x[:end], start) if method == "changepoint" else model.filtered_states(x[:end])[start:]
-                yield pd.DataFrame({"method": method, "date": days[start:end], "regime": states.astype("int32")})
+            for row in batch.to_dict("records"):
+                start, end = row["_start"], row["_end"]
+                x = np.asarray(row["_x"], dtype=float).reshape(end, -1)
+                model = make().fit(x[:start])
+                states = model.filtered_states(x, start) if isinstance(model, ChangePoints) else model.filtered_states(x)[start:]
+                yield pd.DataFrame({**{c: [row[c]] * (end - start) for c in by}, "method": title, "date": row["_days"], "regime": np.asarray(states).astype("int32")})
 
-    frame = spark.createDataFrame(refits, "start int, end int").repartition(len(refits))
-    return frame.mapInPandas(label, "method string, date date, regime int")
+    keys = "".join(f"`{c}` {t}, " for c, t in z.select(*by).dtypes) if by else ""
+    return refits.mapInPandas(label, keys + "method string, date date, regime int")
 
 
 def runs(labels: DataFrame) -> DataFrame:
@@ -64,10 +75,15 @@ def persistence(labels: DataFrame) -> DataFrame:
     )
 
 
-def crisis_share(labels: DataFrame, windows: DataFrame, n_states: int = 3) -> DataFrame:
-    """Share of days in the worst state in each window (both ends inside) and outside all ('outside')."""
+def crisis_share(labels: DataFrame, windows: DataFrame, n_states: int = 3, every: bool = False) -> DataFrame:
+    """Share of days in the worst state in each window (both ends inside) and outside all ('outside'); every: windows without days too, with a null share."""
     in_window = labels.join(F.broadcast(windows), F.col("date").between(F.col("start"), F.col("end")), "left")
-    return in_window.groupBy("method", F.coalesce("name", F.lit("outside")).alias("window")).agg(F.count(F.lit(1)).alias("days"), F.avg((F.col("regime") == n_states - 1).cast("double")).alias("crisis_share"))
+    out = in_window.groupBy("method", F.coalesce("name", F.lit("outside")).alias("window")).agg(F.count(F.lit(1)).alias("days"), F.avg((F.col("regime") == n_states - 1).cast("double")).alias("crisis_share"))
+    if not every:
+        return out
+    names = windows.agg(F.array_append(F.sort_array(F.collect_set("name")), F.lit("outside")).alias("names"))
+    grid = labels.select("method").distinct().join(F.broadcast(names)).select("method", F.explode("names").alias("window"))
+    return grid.join(out, ["method", "window"], "left").na.fill(0, ["days"])
 
 
 def agreement(labels: DataFrame) -> DataFrame:

@@ -52,8 +52,20 @@ def missingness(panel: DataFrame, key: str = "symbol", value: str = "price") ->
     )
 
 
+def checked_columns(obs: DataFrame, key: str = "symbol", value: str = "price") -> DataFrame:
+    """obs itself; ValueError that names columns that are missing, or a date that is neither date nor timestamp."""
+    kinds = dict(obs.dtypes)
+    missing = [c for c in (key, "date", value) if c not in kinds]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    if kinds["date"] not in ("date", "timestamp", "timestamp_ntz"):
+        raise ValueError(f"date is {kinds['date']}")
+    return obs
+
+
 def validate(obs: DataFrame, key: str = "symbol", value: str = "price", signed: bool = True) -> DataFrame:
-    """Checks of each series: rows, duplicate dates, values under and at zero (errors, if signed) and nulls (a warning)."""
+    """Checks of each series: rows, duplicate dates, values under and at zero (errors, if signed) and nulls (a warning). Tables have no order of rows, so falling dates can't occur; null dates are one date."""
+    checked_columns(obs, key, value)
     days = obs.groupBy(key, "date").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) < 0).alias("neg"), F.count_if(F.col(value) == 0).alias("zero"), F.count_if(F.col(value).isNull()).alias("null"))
     each = days.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("duplicate_dates"), F.sum("neg").alias("negative"), F.sum("zero").alias("zeros"), F.sum("null").alias("nulls"))
     bad = F.col("duplicate_dates") + (F.col("negative") + F.col("zeros") if signed else 0)

@@ -251,15 +251,11 @@ def weights_held(spark, d):
 
 def mean_weight_by_regime(spark, d):
     vol = known_labels(spark, d).where("method = 'vol'").select("date", "regime")
-    w = weights(spark, d).join(vol, "date")
-    return r6(w.groupingSets([["strategy", "asset"], ["strategy", "asset", "regime"]], "strategy", "asset", "regime").agg(F.avg("w").alias("mean_w"), F.count(F.lit(1)).alias("days")))
+    return r6(bt.mean_weights(weights(spark, d), vol))
 
 
 def alloc_turnover(spark, d):
-    w = Window.partitionBy("strategy", "asset").orderBy("date")
-    day = weights(spark, d).withColumn("dw", F.abs(F.col("w") - F.lag("w").over(w))).groupBy("strategy", "date").agg((F.sum("dw") / 2).alias("t"))
-    years = F.datediff(F.max("date"), F.min("date")) / 365.25
-    return r6(day.groupBy("strategy").agg(F.count_if(F.col("t") > 1e-9).alias("rebalances"), F.try_divide(F.sum("t"), years).alias("annual_turnover")))
+    return r6(bt.turnover(weights(spark, d)))
 
 
 def backtest_daily(spark, d):
@@ -276,11 +272,7 @@ def equity_drawdown(spark, d):
 
 
 def stress_returns(spark, d):
-    inside = tested(spark, d).join(F.broadcast(stress(spark)), F.col("date").between(F.col("start"), F.col("end")))
-    w = Window.partitionBy("name", "strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    eq = inside.withColumn("eq", F.product(1 + F.col("net")).over(w))
-    eq = eq.withColumn("dd", F.try_divide(F.max("eq").over(w) - F.col("eq"), F.max("eq").over(w)))
-    return r6(eq.groupBy("name", "strategy").agg((F.product(1 + F.col("net")) - 1).alias("total_return"), F.max("dd").alias("max_drawdown"), F.count(F.lit(1)).alias("days")))
+    return r6(bt.stress_returns(tested(spark, d), stress(spark)))
 
 
 def cost_sweep(spark, d):
