@@ -36,6 +36,38 @@ def test_cache_files(spark, tmp_path):
         files.landed(spark, f"{tmp_path}/A_20240501.parquet", "2025-01-01")
 
 
+def test_fetch_or_cache(spark, tmp_path, caplog):
+    day, asked = dt.date(2024, 5, 1), []
+
+    def fetch(i):
+        asked.append(i)
+        if i == "Z":
+            raise OSError("no answer")
+        return spark.createDataFrame([(day, float(len(asked)))], "date date, value double")
+
+    get = lambda **how: {r["id"]: r["value"] for r in files.ingest(spark, str(tmp_path), ["A", "B", "Z"], "id", required=["A"], fetch=fetch, **how).collect()}
+    spark.createDataFrame([(day, 0.0)], "date date, value double").write.parquet(f"{tmp_path}/A_20240501.parquet")
+    with caplog.at_level("WARNING", "tideline"):
+        assert get() == {"A": 0.0, "B": 1.0} and asked == ["B", "Z"] and "no data for optional Z" in caplog.text and "no answer" in caplog.text
+    assert get(max_age_days=30) == {"A": 3.0, "B": 1.0} and asked[2:] == ["A", "Z"]
+    assert get(refresh=True) == {"A": 5.0, "B": 6.0}
+    with pytest.raises(OSError):
+        files.ingest(spark, str(tmp_path), ["Z"], "id", fetch=fetch)
+
+
+def test_build_from_caches(spark, tmp_path):
+    rng, day = np.random.default_rng(6), dt.date(2020, 1, 1)
+    for s in "AB":
+        p = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 120)))
+        spark.createDataFrame([(day + dt.timedelta(i), float(v)) for i, v in enumerate(p)], "date date, Close double").write.parquet(f"{tmp_path}/{s}_20240101.parquet")
+    spark.createDataFrame([(day + dt.timedelta(i), float(i)) for i in range(120)], "date date, value double").write.parquet(f"{tmp_path}/V_20240101.parquet")
+    (tmp_path / "d.yaml").write_text("assets: [{ticker: A}, {ticker: B}]\nseries: [{id: V}, {id: W, optional: true}]\nprice_column: Close\n")
+    cli.main(["build", "--cache", str(tmp_path), "--config", f"{tmp_path}/d.yaml", "--out", f"{tmp_path}/out"])
+    got = spark.read.parquet(f"{tmp_path}/out/features.parquet")
+    assert {"a_ret", "b_ret", "v"} <= set(got.columns) and got.where("v IS NOT NULL").count() > 60
+    assert "2020 COVID" in Path(tmp_path, "out", "qa_report.md").read_text()
+
+
 def test_settings(tmp_path):
     (tmp_path / "d.yaml").write_text("detection:\n  n_states: 4\n  method: jump\n")
     conf = config.Detection.from_yaml(tmp_path / "d.yaml")

@@ -158,6 +158,23 @@ def test_allocators_do_what_they_are_for():
     assert al.mean_variance(r, w_max=0.2).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("name", ["equal_weight", "mean_variance", "min_variance", "risk_parity"])
+def test_optimality_gaps(name):
+    r = returns(300, 5, 8, 0.02)
+    w = al.Allocator(name).weights(r)
+    assert 0 <= al.optimality_gap(name, r, w) + 1e-9 < 2e-7
+    other = al.finish(w + np.array([0.1, 0, 0, 0, 0.02]))
+    assert al.optimality_gap(name, r, other) > 1e-4
+    if name.endswith("variance"):
+        assert al.optimality_gap(name, r, al.Allocator(name, (("w_max", 0.3),)).weights(r), w_max=0.3) < 1e-6
+        # The gap bounds what any other weights gain.
+        mu, cov = al.shrunk_mean(r, 0.5) * (name == "mean_variance"), al.shrunk_covariance(r)
+        value = lambda v: mu @ v - 5 * v @ cov @ v
+        assert value(w) - value(other) <= al.optimality_gap(name, r, other) + 1e-12
+    with pytest.raises(ValueError):
+        al.optimality_gap("hrp", r, w)
+
+
 def test_tail_loss_optimum_against_a_grid():
     r = returns(252, 2, 7)
     r[::20, 1] -= 0.03

@@ -17,7 +17,7 @@ from .operators import labels as lb
 from .operators import panel as pn
 from .operators.calendar import trading_days
 from .session import get_session
-from .sources.files import read_parquet, write_parquet
+from .sources.files import ingest, read_parquet, write_parquet
 
 
 def checked_series(macro, data: config.Data, log):
@@ -79,7 +79,11 @@ def build(spark, data: config.Data, prices, macro, out: str, log=None) -> None:
     write_parquet(wide, f"{out}/features.parquet")
     write_parquet(ft.returns(panel).select("date", "symbol", "price", "ret", "simple"), f"{out}/prices.parquet")
     Path(out, "data_dictionary.md").write_text(report.data_dictionary(wide.columns))
-    report.write_report(f"{out}/qa_report.md", "Data quality", {"Availability": pn.availability(prices), "Missing values": pn.missingness(panel), "Checks": checks})
+    parts = {"Availability": pn.availability(prices), "Missing values": pn.missingness(panel), "Checks": checks}
+    average = f"avg_corr{w.correlation}d"
+    if average in wide.columns:
+        parts["Mean correlation in windows of stress"] = ft.by_window(spark.read.parquet(f"{out}/features.parquet"), stress_frame(spark, config.STRESS), average)
+    report.write_report(f"{out}/qa_report.md", "Data quality", parts, {k: [df.columns[0]] for k, df in parts.items()})
     panel.unpersist()
 
 
@@ -160,6 +164,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tideline", description=__doc__)
     parser.add_argument("phase", choices=["build", "detect", "allocate", "backtest"])
     parser.add_argument("--prices", help="price table (build)")
+    parser.add_argument("--cache", help="folder of dated cache files, one for each configured asset and series (build, instead of tables)")
     parser.add_argument("--macro", help="indicator table (build)")
     parser.add_argument("--config", help="YAML file of the phase")
     parser.add_argument("--out", default="out")
@@ -174,7 +179,12 @@ def main(argv: list[str] | None = None) -> None:
     methods = ["hmm", "jump", "changepoint"] if a.method == "all" else [a.method]
     with report.step(log, a.phase, spark):
         if a.phase == "build":
-            build(spark, conf, read_parquet(spark, a.prices), read_parquet(spark, a.macro) if a.macro else None, a.out, log)
+            if a.cache:
+                prices = ingest(spark, a.cache, conf.tickers, "symbol")
+                macro = ingest(spark, a.cache, [s.id for s in conf.series], "series_id", conf.required_series) if conf.series else None
+            else:
+                prices, macro = read_parquet(spark, a.prices), read_parquet(spark, a.macro) if a.macro else None
+            build(spark, conf, prices, macro, a.out, log)
             return
         prices = read_parquet(spark, f"{a.out}/prices.parquet")
         if a.phase == "detect":

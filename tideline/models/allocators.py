@@ -202,6 +202,25 @@ def hierarchical_risk_parity(r, prev=None, linkage="single", **_):
     return finish(w)
 
 
+def optimality_gap(name: str, r: np.ndarray, w: np.ndarray, risk_aversion=10.0, mean_shrink=0.5, w_max=1.0, **_) -> float:
+    """How far w is from what the named allocator (without a turnover penalty) looks for: 0 at the optimum.
+
+    Mean-variance and least variance: what the best move along the gradient could still gain, a bound on the loss of
+    the objective. Risk parity (without a cap): the spread of the shares of risk. Equal weights: the spread of weights.
+    """
+    if name == "equal_weight":
+        return float(np.ptp(w))
+    if name == "risk_parity":
+        risk = w * (shrunk_covariance(r) @ w)
+        return float(np.ptp(risk) / risk.sum())
+    if name not in ("mean_variance", "min_variance"):
+        raise ValueError(f"no optimality gap for {name}")
+    slope = (shrunk_mean(r, mean_shrink) if name == "mean_variance" else 0.0) - risk_aversion * shrunk_covariance(r) @ w
+    best = np.argsort(-slope)
+    fill = np.clip(1 - w_max * np.arange(len(w)), 0, w_max)
+    return float(slope[best] @ fill - slope @ w)
+
+
 ALLOCATORS = {"equal_weight": equal_weight, "mean_variance": mean_variance, "min_variance": min_variance, "risk_parity": risk_parity, "min_cvar": min_tail_loss, "hrp": hierarchical_risk_parity}
 
 

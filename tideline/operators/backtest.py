@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_cdf
+from ..models.allocators import Allocator, optimality_gap
 
 YEAR = 252
 
@@ -92,6 +93,26 @@ def allocate(returns: DataFrame, assets: list[str], strategies: dict, labels: Da
     return hold(set_, names.select("strategy", "date"), assets)
 
 
+def optimality(returns: DataFrame, assets: list[str], strategies: dict[str, Allocator], lookback: int = 252, every: int = 21) -> DataFrame:
+    """strategy, date, total (sum of weights) and gap (see optimality_gap()) of every rebalancing of static strategies without a turnover penalty."""
+    day = returns.groupBy("date").agg(*(F.max(F.when(F.col("symbol") == s, F.col("simple"))).alias(f"_{k}") for k, s in enumerate(assets))).na.drop()
+    day = day.select("date", F.array(*(f"_{k}" for k in range(len(assets)))).alias("r"), F.row_number().over(Window.orderBy("date")).alias("i"))
+    due = rebalance_days(day.select("date", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"), F.lit(0).alias("regime")), lookback, every)
+    held = allocate(returns, assets, strategies, None, lookback, every).groupBy("strategy", "date").agg(F.array(*(F.max(F.when(F.col("asset") == a, F.col("w"))) for a in assets)).alias("w"))
+    rows = due.join(held, ["strategy", "date"]).withColumn("j", F.explode(F.sequence(F.col("i") - lookback + 1, F.col("i")))).join(day.select(F.col("i").alias("j"), "r"), "j")
+
+    def measure(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("j")
+        name, w = pdf["strategy"].iloc[0], np.array(pdf["w"].iloc[0], dtype=float)
+        chosen = strategies[name]
+        gap = optimality_gap(chosen.name, np.array(pdf["r"].tolist(), dtype=float), w, **dict(chosen.settings))
+        return pd.DataFrame({"strategy": [name], "date": [pdf["date"].iloc[0]], "total": [w.sum()], "gap": [gap]})
+
+    return rows.groupBy("strategy", "i").applyInPandas(measure, "strategy string, date date, total double, gap double")
+
+
 def hold(set_: DataFrame, days: DataFrame, assets: list[str]) -> DataFrame:
     """Weights carried on from each rebalancing to the next."""
     grid = days.withColumn("asset", F.explode(F.array(*map(F.lit, assets))))

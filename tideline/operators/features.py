@@ -79,6 +79,13 @@ def average_correlation(corr: DataFrame) -> DataFrame:
     return corr.groupBy("date").agg(F.avg("corr").alias("avg_corr"))
 
 
+def by_window(daily: DataFrame, windows: DataFrame, value: str) -> DataFrame:
+    """name, days, mean, max of value in each window (name, start, end; both ends inside) with values, and the mean's ratio to that of all days."""
+    inside = daily.where(F.col(value).isNotNull()).join(F.broadcast(windows), F.col("date").between(F.col("start"), F.col("end")))
+    each = inside.groupBy("name").agg(F.count(value).alias("days"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return each.join(F.broadcast(daily.agg(F.avg(value).alias("_all")))).select("name", "days", "mean", "max", F.try_divide("mean", "_all").alias("ratio"))
+
+
 def selected(wide: DataFrame, columns: list[str]) -> DataFrame:
     """date and the named columns, as doubles, in their order; KeyError that names the missing ones. Upper and lower case are alike."""
     known = {c.lower(): c for c in wide.columns}

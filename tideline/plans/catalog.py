@@ -240,6 +240,20 @@ def rebalance_schedule(spark, d):
     return bt.rebalance_days(rule_labels(spark, d).withColumnRenamed("method", "strategy")).select("strategy", "date", "regime")
 
 
+def rebalance_schedule_gaps(spark, d):
+    """The schedule where labels are missing on two days of the week."""
+    gaps = rule_labels(spark, d).withColumn("regime", F.when(~F.dayofweek("date").isin(3, 6), F.col("regime"))).withColumnRenamed("method", "strategy")
+    return bt.rebalance_days(gaps).select("strategy", "date", "regime")
+
+
+def corr_by_window(spark, d):
+    return r6(ft.by_window(ft.average_correlation(corr(spark, d)), stress(spark), "avg_corr"))
+
+
+def optimality_gaps(spark, d):
+    return r6(bt.optimality(complete_returns(spark, d), ASSETS, {n: Allocator(n) for n in ("equal_weight", "mean_variance", "min_variance", "risk_parity")}))
+
+
 def weights_rules(spark, d):
     return r6(weights(spark, d))
 
@@ -368,7 +382,7 @@ PLAIN = (
     expanding_zscore, usable_rows, feature_matrix_trimmed, common_coverage, asset_availability, missingness, price_validation, macro_validation, return_describe, corr_summary, corr_histogram, corr_matrix,
     label_runs, label_distribution, label_persistence, crisis_share, detector_agreement, crisis_intervals, rebalance_schedule, weights_rules, weights_held, mean_weight_by_regime, alloc_turnover,
     backtest_daily, backtest_metrics, equity_drawdown, stress_returns, cost_sweep, common_window, pbo_cscv, psr_argument, ledoit_wolf, cov_to_corr, events_tumbling,
-    pbo_split_ranks, backtest_metrics_excess, deflated_sharpe_excess, weights_switching, backtest_switching, deflated_sharpe,
+    rebalance_schedule_gaps, corr_by_window, optimality_gaps, pbo_split_ranks, backtest_metrics_excess, deflated_sharpe_excess, weights_switching, backtest_switching, deflated_sharpe,
 )
 
 

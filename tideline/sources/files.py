@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger("tideline")
 STAMPED = re.compile(r"^(?P<id>.+)_(?P<stamp>\d{8})$")
 
 
@@ -54,8 +57,24 @@ def cache_is_valid(path: str | Path, max_age_days: int | None = None, today: dt.
     return max_age_days is None or ((today or dt.date.today()) - day).days <= max_age_days
 
 
-def ingest(spark: SparkSession, folder: str, identifiers: list[str], key: str, required: list[str] | None = None) -> DataFrame:
-    """The newest caches of all identifiers as one long table with the column key; ValueError if a required one (all by default) has none."""
+def ingest(spark: SparkSession, folder: str, identifiers: list[str], key: str, required: list[str] | None = None, fetch: Callable[[str], DataFrame] | None = None, max_age_days: int | None = None, refresh: bool = False) -> DataFrame:
+    """The newest caches of all identifiers as one long table with the column key; ValueError if a required one (all by default) has none, a logged warning for others.
+
+    fetch: called for identifiers without a cache of at most max_age_days (for all, with refresh); what it returns becomes
+    today's cache. If it fails, that is an error for a required identifier, and a warning for others.
+    """
+    for i in identifiers if fetch else []:
+        cached = latest_cache(folder, i)
+        if refresh or cached is None or not cache_is_valid(cached, max_age_days):
+            try:
+                write_parquet(fetch(i), str(cache_path(folder, i)))
+            except Exception as e:
+                if required is None or i in required:
+                    raise
+                LOG.warning("%s: not fetched (%s)", i, e)
+    for i in identifiers:
+        if required is not None and i not in required and latest_cache(folder, i) is None:
+            LOG.warning("no data for optional %s", i)
     found = {i: p for i in identifiers if (p := latest_cache(folder, i))}
     missing = [i for i in (identifiers if required is None else required) if i not in found]
     if missing:
