@@ -274,6 +274,20 @@ class ChangePoints(Detector):
         return out
 
 
+def known_markov(start: list, move: list, means: list, var: list) -> HiddenMarkov:
+    """A hidden Markov model of known parameters; var: variances by state and feature, or a matrix for each state."""
+    model = HiddenMarkov(len(start))
+    model.start, model.move, model.means, model.var = (np.array(v, dtype=float) for v in (start, move, means, var))
+    return model
+
+
+def known_jump(means: list, penalty: float) -> JumpModel:
+    """A jump model of known centres."""
+    model = JumpModel(len(means), penalty=penalty)
+    model.means = np.array(means, dtype=float)
+    return model
+
+
 DETECTORS = {"hmm": HiddenMarkov, "jump": JumpModel, "changepoint": ChangePoints}
 
 

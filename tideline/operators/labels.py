@@ -52,6 +52,22 @@ def walk_forward(z: DataFrame, method: str | Callable[[], Detector], min_train:
     return refits.mapInPandas(label, keys + "method string, date date, regime int")
 
 
+def states(z: DataFrame, model: Detector, by: tuple[str, ...] = (), smoothed: bool = False) -> DataFrame:
+    """by, date, regime, proba of each day under a fitted model: as known by that day, or (smoothed) on the best path through all days, without proba. z: by, date, z; a panel is one task."""
+
+    def label(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("date", ignore_index=True)
+        x = np.array(pdf["z"].tolist(), dtype=float)
+        proba = None if smoothed else model.filtered_proba(x)
+        regime = model.smoothed_states(x) if smoothed else proba.argmax(1)
+        return pd.DataFrame({**{c: pdf[c] for c in by}, "date": pdf["date"], "regime": regime.astype("int32"), "proba": [None] * len(x) if smoothed else proba.tolist()})
+
+    keys = "".join(f"`{c}` {t}, " for c, t in z.select(*by).dtypes) if by else ""
+    return z.groupBy(*by).applyInPandas(label, keys + "date date, regime int, proba array<double>")
+
+
 def runs(labels: DataFrame) -> DataFrame:
     """Contiguous runs of a label: method, run, regime, start, end, days."""
     w = Window.partitionBy("method").orderBy("date")

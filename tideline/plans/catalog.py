@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..models.allocators import Allocator
+from ..models.states import known_jump, known_markov
 from ..operators import backtest as bt
 from ..operators import features as ft
 from ..operators import labels as lb
@@ -356,6 +357,27 @@ def events_tumbling(spark, d):
     return r6(filters.hourly(src.table(spark, d, "events")).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", "mean_value"))
 
 
+def states_markov(spark, d):
+    """States and the worst one's probability as known by each day, under a fixed hidden Markov model."""
+    rows = lb.states(z_matrix(spark, d), known_markov(*oracle.MARKOV))
+    return r6(rows.select("date", "regime", F.col("proba")[2].alias("p_worst")))
+
+
+def states_jump(spark, d):
+    """States as known by each day under a fixed jump model."""
+    return lb.states(z_matrix(spark, d), known_jump(*oracle.JUMP)).select("date", "regime")
+
+
+def states_jump_path(spark, d):
+    """The best path of a fixed jump model through all days: its squared distances and penalties, which no path undercuts."""
+    path = lb.states(z_matrix(spark, d), known_jump(*oracle.JUMP), smoothed=True)
+    jump = F.coalesce((F.col("regime") != F.lag("regime").over(Window.orderBy("date"))).cast("int"), F.lit(0))
+    x = z_matrix(spark, d).join(path, "date").withColumn("jump", jump)
+    centre = F.array(*(F.array(*map(F.lit, m)) for m in oracle.JUMP[0]))[F.col("regime")]
+    far = F.aggregate(F.zip_with("z", centre, lambda a, b: (a - b) ** 2), F.lit(0.0), lambda a, b: a + b)
+    return x.agg(F.round(F.sum(far) + oracle.JUMP[1] * F.sum("jump"), 4).alias("cost"))
+
+
 def detected(method: str, **settings) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: lb.walk_forward(z_matrix(spark, d), method, severity=[0, 1, 2], **settings)
 
@@ -382,7 +404,7 @@ PLAIN = (
     expanding_zscore, usable_rows, feature_matrix_trimmed, common_coverage, asset_availability, missingness, price_validation, macro_validation, return_describe, corr_summary, corr_histogram, corr_matrix,
     label_runs, label_distribution, label_persistence, crisis_share, detector_agreement, crisis_intervals, rebalance_schedule, weights_rules, weights_held, mean_weight_by_regime, alloc_turnover,
     backtest_daily, backtest_metrics, equity_drawdown, stress_returns, cost_sweep, common_window, pbo_cscv, psr_argument, ledoit_wolf, cov_to_corr, events_tumbling,
-    rebalance_schedule_gaps, corr_by_window, optimality_gaps, pbo_split_ranks, backtest_metrics_excess, deflated_sharpe_excess, weights_switching, backtest_switching, deflated_sharpe,
+    states_markov, states_jump, states_jump_path, rebalance_schedule_gaps, corr_by_window, optimality_gaps, pbo_split_ranks, backtest_metrics_excess, deflated_sharpe_excess, weights_switching, backtest_switching, deflated_sharpe,
 )
 
 

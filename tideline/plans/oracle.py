@@ -75,6 +75,40 @@ METRICS = f"""count(net) AS days, {r('pow(product(1 + net), 252.0 / count(net))
   CASE WHEN max((peak - equity) / peak) > 0 THEN {r('(pow(product(1 + net), 252.0 / count(net)) - 1) / max((peak - equity) / peak)')} END AS calmar"""
 
 
+#: Fixed models: start, moves, means and variances of a hidden Markov model; centres and penalty of a jump model.
+MARKOV = ([0.4, 0.4, 0.2], [[0.95, 0.04, 0.01], [0.03, 0.94, 0.03], [0.02, 0.06, 0.92]], [[-0.8] * 4, [0.2] * 4, [1.4] * 4], [[0.5] * 4, [0.7] * 4, [1.5] * 4])
+JUMP = ([[-0.8] * 4, [0.2] * 4, [1.4] * 4], 6.0)
+
+ZS = "zs AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date) AS i FROM market WHERE v21 IS NOT NULL AND v63 IS NOT NULL AND fall IS NOT NULL AND avg_corr IS NOT NULL)"
+
+
+def square(m: list) -> str:
+    """Squared distance of a day to m."""
+    return " + ".join(f"({c} - ({x})) ** 2" for c, x in zip(("v21", "v63", "fall", "avg_corr"), m, strict=True))
+
+
+def markov() -> str:
+    """The forward recursion of the fixed hidden Markov model; each state has one variance."""
+    start, move, means, var = MARKOV
+    dens = ", ".join(f"exp(-0.5 * (4 * ln(2 * pi() * {var[k][0]}) + ({square(means[k])}) / {var[k][0]})) AS b{k}" for k in range(3))
+    first = ", ".join(f"{start[k]} * b{k} / ({' + '.join(f'{start[j]} * b{j}' for j in range(3))}) AS a{k}" for k in range(3))
+    come = [f"({' + '.join(f'a{j} * {move[j][k]}' for j in range(3))}) * b{k}" for k in range(3)]
+    step = ", ".join(f"{c} / ({' + '.join(come)})" for c in come)
+    return f""", {ZS}, dens AS MATERIALIZED (SELECT date, i, {dens} FROM zs)
+      SELECT date, CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END AS regime, {r('a2')} AS p_worst FROM dens JOIN (WITH RECURSIVE s AS (
+        SELECT i, {first} FROM dens WHERE i = 1 UNION ALL SELECT d.i, {step} FROM s JOIN dens d ON d.i = s.i + 1) SELECT * FROM s) USING (i)"""
+
+
+def jump(select: str) -> str:
+    """The dynamic program of the fixed jump model."""
+    means, penalty = JUMP
+    cost = ", ".join(f"{square(m)} AS c{k}" for k, m in enumerate(means))
+    step = ", ".join(f"c{k} + least(x{k}, least(x0, x1, x2) + {penalty})" for k in range(3))
+    return f""", {ZS}, costs AS MATERIALIZED (SELECT date, i, {cost} FROM zs),
+      paths AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE s AS (SELECT i, c0 AS x0, c1 AS x1, c2 AS x2 FROM costs WHERE i = 1 UNION ALL SELECT d.i, {step} FROM s JOIN costs d ON d.i = s.i + 1) SELECT * FROM s))
+      {select}"""
+
+
 def with_tables(select: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in TABLES.items()) + "\n" + select
 
@@ -181,6 +215,9 @@ def sql() -> dict[str, str]:
           SELECT method AS strategy, date, regime FROM g JOIN (WITH RECURSIVE s(method, i, regime) AS (
             SELECT method, min(i), arg_min(regime, i) FROM g GROUP BY method UNION ALL
             SELECT s.method, min(g.i), arg_min(g.regime, g.i) FROM s JOIN g ON g.method = s.method AND g.i > s.i AND (g.i - s.i >= 21 OR g.regime <> s.regime) GROUP BY s.method) SELECT method, i FROM s) USING (method, i)""",
+        "states_markov": markov(),
+        "states_jump": jump("SELECT date, CASE WHEN x0 <= x1 AND x0 <= x2 THEN 0 WHEN x1 <= x2 THEN 1 ELSE 2 END AS regime FROM paths JOIN costs USING (i)"),
+        "states_jump_path": jump("SELECT round(least(x0, x1, x2), 4) AS cost FROM paths WHERE i = (SELECT max(i) FROM costs)"),
         "corr_by_window": f"""SELECT name, count(avg_corr) AS days, {r('avg(avg_corr)')} AS mean, {r('max(avg_corr)')} AS max, {r('avg(avg_corr) / nullif((SELECT avg(avg_corr) FROM avgc), 0)')} AS ratio
           FROM avgc JOIN stress ON date BETWEEN s AND e WHERE avg_corr IS NOT NULL GROUP BY name""",
         "optimality_gaps": f""", d AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM rets GROUP BY date HAVING count(ret) = {len(ASSETS)})
