@@ -15,6 +15,10 @@ from . import common
 WIDE = float(1 << 40)
 #: Shares of a block's postings after which candidates are counted.
 STEPS = (0.3, 0.45, 0.55, 0.65, 0.8, 1.0)
+#: A posting segment with at least this share of a block's vectors is kept as an array over all of them, else as a list.
+DENSE = 1 / 32
+#: Components that a block holds at most (or one vector): its layers take some 50 bytes for each.
+COMPONENTS = 1 << 19
 
 
 def quantised(values: DataFrame, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -66,8 +70,10 @@ def exact_scores(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
 class Block:
     """Vectors as posting segments: for each dimension the vectors in falling order of impact (a component's size), cut where a layer ends.
 
-    A layer holds the segments of all dimensions between two impacts; layers run from the highest impact down. Beside
-    them stand, for each vector and layer, the norm of what is still to come and the number of its components.
+    A layer holds the segments of all dimensions between two impacts; layers run from the highest impact down. Long
+    segments of a layer stand side by side as arrays over all vectors and are scored in one product, short ones are
+    lists of postings. Beside them stand, for each vector and layer, the norm of what is still to come and the number
+    of its components.
     """
 
     def __init__(self, ids: np.ndarray, none: np.ndarray, matrix: np.ndarray):
@@ -85,9 +91,12 @@ class Block:
         self.postings = int(np.count_nonzero(size))
         for least in [e for e in ends if e >= 1]:
             lo, hi = np.count_nonzero(size >= above, axis=0), np.count_nonzero(size >= least, axis=0)
-            segments = [(d, at, signed[at, d]) for d in range(size.shape[1]) if lo[d] < hi[d] for at in [order[lo[d] : hi[d], d]]]
+            long_ = np.flatnonzero(hi - lo >= max(1, DENSE * len(size)))
+            in_layer = (size[:, long_] >= least) & (size[:, long_] < above)
+            arrays = (long_, np.where(in_layer, signed[:, long_], 0.0))
+            lists = [(d, at, signed[at, d]) for d in np.flatnonzero(lo < hi).tolist() if hi[d] - lo[d] < DENSE * len(size) for at in [order[lo[d] : hi[d], d]]]
             to_come = np.where(size < least, size, 0.0)
-            self.layers.append((segments, int((hi - lo).sum()), np.sqrt((to_come**2).sum(axis=1)), np.count_nonzero(to_come, axis=1)))
+            self.layers.append((arrays, lists, int((hi - lo).sum()), np.sqrt((to_come**2).sum(axis=1)), np.count_nonzero(to_come, axis=1)))
             above = least
         self.norm = np.sqrt((size**2).sum(axis=1))
 
@@ -115,18 +124,24 @@ class Block:
             at = at[(self.ids[at] != query_ids[row]) | self.none[at]]
             out[row] = Found(self.ids[at], self.none[at], exact_scores(self.matrix[at], queries[row])).best(k)
 
-        for depth, (segments, postings, norm_left, open_) in enumerate(self.layers):
+        for depth, ((long_, arrays), lists, postings, norm_left, open_) in enumerate(self.layers):
             if not len(live):
                 break
-            for d, at, values in segments:
+            known += arrays @ q[long_]
+            for d, at, values in lists:
                 known[at] += values[:, None] * q[d]
             touched += postings * len(live)
-            slack = norm_left[:, None] * heads[open_] + rounding * (self.norm[:, None] * norms + np.abs(known) + 1)
-            low, high = known - slack, known + slack
-            low[own] = high[own] = -np.inf
-            kth = np.partition(low, n - k, axis=0)[n - k] if n >= k else np.full(len(live), -np.inf)
-            possible = (high >= np.maximum(kth, least)) & ~own
-            next_ = self.layers[depth + 1][1] / max(1, width) if depth + 1 < len(self.layers) else np.inf
+            slack = heads[open_]
+            slack *= norm_left[:, None]
+            slack += rounding * (self.norm[:, None] * (2 * norms) + 1)
+            bar = least.copy()
+            unset = np.flatnonzero(least == -np.inf)
+            if n >= k and len(unset):  # no floor yet: the k-th best lower bound of this block
+                low = np.where(own[:, unset], -np.inf, known[:, unset] - slack[:, unset])
+                bar[unset] = np.partition(low.T, n - k, axis=1)[:, n - k]
+            slack += known
+            possible = (slack >= bar) & ~own
+            next_ = self.layers[depth + 1][2] / max(1, width) if depth + 1 < len(self.layers) else np.inf
             done = possible.sum(axis=0) <= next_
             for col in np.flatnonzero(done).tolist():
                 at = np.flatnonzero(possible[:, col])
@@ -139,7 +154,7 @@ class Block:
 
 
 def blocks_of(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """Vectors (vec_id, v) packed where they lie into rows of at most rows vectors of one width: block (number), width, n, ids, none and values as bytes. Null ids are marked in none. Empty: no row."""
+    """Vectors (vec_id, v) packed where they lie into rows of at most rows vectors and COMPONENTS components, of one width: block (number), width, n, ids, none and values as bytes. Null ids are marked in none. Empty: no row."""
 
     def run(batches):
         import pyarrow as pa
@@ -164,7 +179,7 @@ def blocks_of(vectors: DataFrame, rows: int, name: str) -> DataFrame:
                 ids, vs = held.setdefault(len(v), ([], []))
                 ids.append(vec_id)
                 vs.append(v.values.to_numpy(zero_copy_only=False))
-                if len(ids) == rows:
+                if len(ids) == rows or len(ids) * len(v) >= COMPONENTS:
                     yield out(len(v), *held.pop(len(v)))
         for width, (ids, vs) in held.items():
             yield out(width, ids, vs)
