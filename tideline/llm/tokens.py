@@ -36,6 +36,8 @@ MOST_SHARDS = 100_000
 LONG_TEXT = 1 << 20
 #: Unicode's White_Space, which white space in the pattern stands for.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Fixed value: the pattern by which the vocabulary's texts are cut into pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Kept(dict):
@@ -69,8 +71,10 @@ class Encoder:
 
     The tokenizer cuts a text into pieces by its pattern before it merges bytes inside each piece, so the ids of
     a text are those of its pieces in order. No piece goes on from other characters into white space, and only
-    one space leads a piece, so cutting at white space first (units: an optional space and what follows it up to white
-    space, or white space) and then inside each unit gives the same pieces. Ids of units and pieces are kept.
+    one space leads a piece, so cutting at white space first (an optional space and what follows it up to white
+    space, or white space) and then inside gives the same pieces. The first cut gives the pieces themselves where
+    all is ASCII, whose letters and digits need no tables; what holds other characters is one unit, cut by the
+    pattern when it is new. Ids of units and pieces are kept.
     Strings of the tokenizer's added tokens are taken out first, the longest that begins leftmost, as the library
     does by default: each is its own id, and what lies between is encoded by itself.
     """
@@ -87,26 +91,29 @@ class Encoder:
         self.dtype, code = ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
         def ids_of(piece: str) -> bytes:
-            return struct.pack(f"<{len(t)}{code}", *[x.id for x in t]) if (t := merge(piece.encode().decode("latin1").translate(to_alphabet))) else b""
+            if piece.isascii():  # printable characters stand for themselves
+                t = merge(piece.replace(" ", space) if piece.isprintable() else piece.translate(to_alphabet))
+            else:
+                t = merge(piece.encode().decode("latin1").translate(to_alphabet))
+            return struct.pack(f"<{len(t)}{code}", *[x.id for x in t])
 
         def of_unit(unit: str) -> bytes:
-            word = unit[1:] if unit[0] == " " else unit
-            if word.isalpha():
-                if word.isascii():  # such characters stand for themselves, and a space is the character of byte 32
-                    t = merge(space + word if word is not unit else word)
-                    return struct.pack(f"<{len(t)}{code}", *[x.id for x in t])
+            if unit.isascii() or unit.removeprefix(" ").isalpha() or len(pieces := inside(unit)) == 1:
                 return ids_of(unit)
-            pieces = inside(unit)
-            return ids_of(unit) if len(pieces) == 1 else b"".join(map(of, pieces))
+            return b"".join(map(of, pieces))
 
         self.added = {t.content: struct.pack(f"<{code}", k) for k, t in tokenizer.get_added_tokens_decoder().items()}
         if odd := [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.lstrip or t.rstrip or t.single_word or t.normalized]:
             raise ValueError(f"added tokens {odd} take their surroundings or other forms with them, which isn't supported")
         self.part = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        if pattern != PATTERN:
+            raise ValueError("the cuts follow another pattern")
         inside, space = regex.compile(pattern).findall, byte_alphabet()[" "]
         self.units = Kept(of_unit, kept)
         of = self.units.__getitem__
-        self.cut = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        beyond = f"(?: |(?<![^{SPACE}]))[^{SPACE}\x80-\U0010ffff]*+[^{SPACE}\x00-\x7f][^{SPACE}]*"
+        ascii_pieces = f" ?[A-Za-z]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}A-Za-z0-9]+"
+        self.cut = re.compile(f"{beyond}|{ascii_pieces}|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as bytes of dtype; none for null or empty."""
