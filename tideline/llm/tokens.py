@@ -28,7 +28,7 @@ from . import common
 MAGIC, VERSION = b"TIDS", 1
 HEAD = "<4sIQQI"
 #: Units and pieces whose ids a worker keeps in each of two generations: a bound on its memory.
-KEPT = 700_000
+KEPT = 500_000
 #: Whole texts whose packed ids a worker keeps by SHA-256, likewise: groups of copies are encoded once.
 KEPT_TEXTS = 10_000
 #: Ranges of doc_id at most: their bounds travel with every task. Beyond, a range makes more files.
